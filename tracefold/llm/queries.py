@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm import p2_groups, p5_copies, p8_tokens
+from tracefold.llm import p2_groups, p5_copies, p7_pii, p8_tokens, p10_repetition
 from tracefold.runtime import table
 
 
@@ -27,11 +27,35 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return p8_tokens.encode(table(spark, d, "documents"))
 
 
+def _p7_texts(spark: SparkSession, d: str) -> DataFrame:
+    return p7_pii.texts(table(spark, d, "parsed_records"), table(spark, d, "documents"), table(spark, d, "extractions"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_pii.spans(_p7_texts(spark, d))
+
+
+def p7_text(spark: SparkSession, d: str) -> DataFrame:
+    return p7_pii.redact(_p7_texts(spark, d))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_repetition.repetitive(table(spark, d, "documents"))
+
+
+def p10_quality(spark: SparkSession, d: str) -> DataFrame:
+    return p10_repetition.quality(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p5_found": p5_found,
     "p5_collapsed": p5_collapsed,
+    "p7_found": p7_found,
+    "p7_text": p7_text,
     "p8_ids": p8_ids,
+    "p10_found": p10_found,
+    "p10_quality": p10_quality,
 }
 
 _P5_KEYED = """
