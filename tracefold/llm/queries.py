@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm import p2_groups, p5_copies, p7_pii, p8_tokens, p10_repetition
+from tracefold.llm import p2_groups, p3_scans, p5_copies, p7_pii, p8_tokens, p10_repetition
 from tracefold.runtime import table
 
 
@@ -15,6 +15,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_groups.record_groups(table(spark, d, "entity_links"), table(spark, d, "extractions"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_scans.damaged(table(spark, d, "parsed_records"), table(spark, d, "documents"))
+
+
+def p3_text(spark: SparkSession, d: str) -> DataFrame:
+    return p3_scans.repaired(table(spark, d, "parsed_records"), table(spark, d, "documents"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_copies.copies(table(spark, d, "extractions"))
 
@@ -49,6 +57,8 @@ def p10_quality(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_text": p3_text,
     "p5_found": p5_found,
     "p5_collapsed": p5_collapsed,
     "p7_found": p7_found,
