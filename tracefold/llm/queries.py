@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm import p2_groups, p3_scans, p5_copies, p7_pii, p8_tokens, p10_repetition
+from tracefold.llm import p2_groups, p3_scans, p4_places, p5_copies, p7_pii, p8_tokens, p10_repetition
 from tracefold.runtime import table
 
 
@@ -23,6 +23,14 @@ def p3_text(spark: SparkSession, d: str) -> DataFrame:
     return p3_scans.repaired(table(spark, d, "parsed_records"), table(spark, d, "documents"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_places.pairs(p4_places.address_records(table(spark, d, "roster_rows"), table(spark, d, "extractions")))
+
+
+def p4_locations(spark: SparkSession, d: str) -> DataFrame:
+    return p4_places.locations(p4_places.address_records(table(spark, d, "roster_rows"), table(spark, d, "extractions")))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_copies.copies(table(spark, d, "extractions"))
 
@@ -59,6 +67,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_text": p3_text,
+    "p4_found": p4_found,
+    "p4_locations": p4_locations,
     "p5_found": p5_found,
     "p5_collapsed": p5_collapsed,
     "p7_found": p7_found,
