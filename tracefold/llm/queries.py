@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm import p2_groups, p3_scans, p4_places, p5_copies, p7_pii, p8_tokens, p10_repetition
+from tracefold.llm import p1_names, p2_groups, p3_scans, p4_places, p5_copies, p7_pii, p8_tokens, p10_repetition
 from tracefold.runtime import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_names.variants(table(spark, d, "extractions"), table(spark, d, "persons"), table(spark, d, "entity_links"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_groups.record_groups(table(spark, d, "entity_links"), table(spark, d, "extractions"))
 
@@ -64,6 +68,7 @@ def p10_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_text": p3_text,
