@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm import p1_names, p2_groups, p3_scans, p4_places, p5_copies, p7_pii, p8_tokens, p10_repetition
+from tracefold.llm import p1_names, p2_groups, p3_scans, p4_places, p5_copies, p6_matching, p7_pii, p8_tokens, p9_mixing, p10_repetition
 from tracefold.runtime import table
 
 
@@ -47,6 +47,14 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return p8_tokens.encode(table(spark, d, "documents"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_scored(spark, d).select("person_id", "subject_id")
+
+
+def p6_scored(spark: SparkSession, d: str) -> DataFrame:
+    return p6_matching.matches(table(spark, d, "persons"), table(spark, d, "exposure_flags"), table(spark, d, "intake_subjects"))
+
+
 def _p7_texts(spark: SparkSession, d: str) -> DataFrame:
     return p7_pii.texts(table(spark, d, "parsed_records"), table(spark, d, "documents"), table(spark, d, "extractions"))
 
@@ -59,6 +67,14 @@ def p7_text(spark: SparkSession, d: str) -> DataFrame:
     return p7_pii.redact(_p7_texts(spark, d))
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return p9_mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return p9_mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_repetition.repetitive(table(spark, d, "documents"))
 
@@ -76,9 +92,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_locations": p4_locations,
     "p5_found": p5_found,
     "p5_collapsed": p5_collapsed,
+    "p6_found": p6_found,
+    "p6_scored": p6_scored,
     "p7_found": p7_found,
     "p7_text": p7_text,
     "p8_ids": p8_ids,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_quality": p10_quality,
 }
