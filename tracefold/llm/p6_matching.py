@@ -122,7 +122,7 @@ def confidence(score: float) -> float:
 def _forms(persons: DataFrame, flags: DataFrame, subjects: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Different forms of both tables (form, side, name, born, types) and the rows of each (form, id, side)."""
     cats = flags.where("category is not null").groupBy("person_id").agg(F.array_sort(F.collect_set("category")).alias("types"))
-    p = persons.where("id is not null and best_known_full_name <> 'Unknown'").join(cats.withColumnRenamed("person_id", "id"), "id", "left").select(F.lit("p").alias("side"), "id", F.trim("best_known_full_name").alias("name"), F.col("dob").alias("born"), "types")
+    p = persons.where("id is not null and best_known_full_name <> 'Unknown'").select("id", F.trim("best_known_full_name").alias("name"), F.col("dob").alias("born")).join(cats.withColumnRenamed("person_id", "id"), "id", "left").select(F.lit("p").alias("side"), "id", "name", "born", "types")
     s = subjects.where("subject_id is not null and listed_name is not null").select(F.lit("s").alias("side"), F.col("subject_id").alias("id"), F.trim("listed_name").alias("name"), F.col("birth_date").alias("born"), F.array_sort("data_types").alias("types"))
     rows = p.unionByName(s).where("name <> ''").withColumn("types", F.coalesce("types", F.array().cast("array<string>")))
     # equal persons of different categories are one form; its categories are united
