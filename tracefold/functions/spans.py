@@ -6,26 +6,51 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Code points that stand for no character mark the matches; a text that holds one nevertheless takes the slower way.
+OPEN, VALUE, CLOSE = "\ufdd0", "\ufdd1", "\ufdd2"
+
+MATCHES = "array<struct<raw:string,value:string,start:int,end:int>>"
+
+
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<raw, value, start, end>> of the matches of ``pattern``; value is the group. Null for a null text.
 
-    ``split`` and ``regexp_extract_all`` use the same engine, so the pieces between the matches give the offsets.
+    One pass of the pattern puts marks around each match and its group; cutting at the marks gives values and offsets.
     """
+    marked = F.regexp_replace(text, F.lit(pattern), F.lit(f"{OPEN}$0{VALUE}${group}{CLOSE}"))
+    pieces = F.split(marked, OPEN, -1)
+    hits = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), _cut)
+    found = _placed(hits, F.length(pieces[0]))
+    return F.when(F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(VALUE)) | F.contains(text, F.lit(CLOSE)), matches_between(text, pattern, group)).otherwise(found)
+
+
+def _cut(piece: Column) -> Column:
+    raw = F.substring_index(piece, VALUE, 1)
+    rest = F.substring_index(piece, VALUE, -1)
+    return F.struct(raw.alias("raw"), F.substring_index(rest, CLOSE, 1).alias("value"), F.length(F.substring_index(rest, CLOSE, -1)).alias("after"), F.length(raw).alias("n"))
+
+
+def _placed(hits: Column, first: Column) -> Column:
+    start = F.struct(first.alias("at"), F.array().cast(MATCHES).alias("out"))
+
+    def step(acc: Column, m: Column) -> Column:
+        end = acc["at"] + m["n"]
+        hit = F.struct(m["raw"].alias("raw"), m["value"].alias("value"), acc["at"].alias("start"), end.alias("end"))
+        return F.struct((end + m["after"]).alias("at"), F.concat(acc["out"], F.array(hit)).alias("out"))
+
+    return F.aggregate(hits, start, step, lambda acc: acc["out"])
+
+
+def matches_between(text: Column, pattern: str, group: int = 0) -> Column:
+    """The same by the pieces between the matches; needs no marks but three passes of the pattern."""
     between = F.split(text, pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    joined = F.zip_with(
-        F.arrays_zip(whole.alias("raw"), value.alias("value")), F.slice(between, 1, F.size(whole)),
-        lambda m, gap: F.struct(m["raw"].alias("raw"), m["value"].alias("value"), F.length(gap).alias("gap"), F.length(m["raw"]).alias("n")),
+    hits = F.zip_with(
+        F.arrays_zip(whole.alias("raw"), value.alias("value")), F.slice(between, 2, F.size(whole)),
+        lambda m, gap: F.struct(m["raw"].alias("raw"), m["value"].alias("value"), F.length(gap).alias("after"), F.length(m["raw"]).alias("n")),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<raw:string,value:string,start:int,end:int>>").alias("out"))
-
-    def step(acc: Column, m: Column) -> Column:
-        a = acc["at"] + m["gap"]
-        hit = F.struct(m["raw"].alias("raw"), m["value"].alias("value"), a.alias("start"), (a + m["n"]).alias("end"))
-        return F.struct((a + m["n"]).alias("at"), F.concat(acc["out"], F.array(hit)).alias("out"))
-
-    return F.aggregate(joined, start, step, lambda acc: acc["out"])
+    return _placed(hits, F.length(between[0]))
 
 
 def around(text: Column, start: Column, end: Column, width: int = 60) -> Column:

@@ -35,7 +35,8 @@ def threshold(counts: DataFrame, column: str, least: int, times: int) -> DataFra
 
 def record_ids(extractions: DataFrame) -> DataFrame:
     """Extractions that are not suppressed (null: kept) with key ('' for null) and rid, the smallest id of the record."""
-    e = extractions.where("not coalesce(suppressed_as_false_positive, false) and document_id is not null and id is not null").withColumn("key", F.coalesce("record_key", F.lit("")))
+    e = extractions.where("not coalesce(suppressed_as_false_positive, false) and document_id is not null and id is not null")
+    e = e.select("id", "document_id", F.coalesce("record_key", F.lit("")).alias("key"), "category", "normalized_value", "confidence", "is_partial")
     first = e.groupBy("document_id", "key").agg(F.min("id").alias("rid"))
     return salted_join(e, first, ["document_id", "key"])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -16,7 +17,7 @@ SKIPPED_FOLDERS, SKIPPED_FILES = ("_extracted_attachments", "_recovered"), ("man
 def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     """relpath, filename, declared_extension, size_bytes, sha256 ('' for an empty file), content of every file below ``root``."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.rstrip("/").removeprefix("file:").replace("//", "/") + "/")
+    base = re.sub("^file:/*", "/", root.rstrip("/")) + "/"
     rel = F.substring_index(F.regexp_replace("path", "^file:/*", "/"), base, -1)
     name, folder = F.substring_index("relpath", "/", -1), F.element_at(F.split("relpath", "/"), -2)
     skip = F.when(F.size(F.split("relpath", "/")) > 1, folder.isin(*SKIPPED_FOLDERS)).otherwise(False) | name.isin(*SKIPPED_FILES)
