@@ -230,6 +230,7 @@ LETTERS = [
     ("It is closed. H. Mardelac can be reached on 001-227-555-1405 x12 after five.", [("H. Mardelac", "name"), ("001-227-555-1405 x12", "phone")]),
     ("Parcel number 933-22-4604 was logged. SSN 912-81-7110 is his.", [("912-81-7110", "id_number")]),
     ("Write to josef22 [at] inbox[.]example or info@corvane.example.", [("josef22 [at] inbox[.]example", "email"), ("info@corvane.example", "email")]),
+    ("Records list asthma, with follow-up by J. Lee at j_lee5 at postbox dot example. Shared with raul (at) meridow dot example by mistake.", [("J. Lee", "name"), ("j_lee5 at postbox dot example", "email"), ("raul (at) meridow dot example", "email")]),
     ("Escribir a Briltuvuer, Dorothy, 1056 Drorosell Ln., 21238 Northmere, MT, o a d@x.example.", [("Briltuvuer, Dorothy", "name"), ("1056 Drorosell Ln., 21238 Northmere, MT", "address"), ("d@x.example", "email")]),
     ("Full name | Henry Horbodal | Date of birth | 1984-09-16", [("Henry Horbodal", "name")]),
     ("Best,\nBjörn Grisceholm\nDirect: (696)555-2453", [("Björn Grisceholm", "name"), ("(696)555-2453", "phone")]),

@@ -23,7 +23,7 @@ from tracefold.runtime import materialize
 # Wordings around names. A frame is (before, after); the name stands between.
 NAME_FRAMES = [
     (r"\bthe patient, ", r", lives at "),
-    (r"\bwith follow-up by ", r" at (?=\S+(?:@| ?[\[(]))"),
+    (r"\bwith follow-up by ", r" at (?=\S+(?:@| ?[\[(]| at \S+ dot ))"),
     (r"\bwas created for ", r" on (?=[\dA-Z])"),
     (r"\bwas copied for ", r" during intake"),
     (r"\bRefunds for ", r" go to "),
@@ -65,9 +65,10 @@ ADDRESS_FRAMES = [
 ADDRESS_ENDS = r"(?:\butility bill for |, lives at |\bwas mailed to |\bbilled to |\bvive ahora en |\bhabite désormais |\bAnschrift von [^\n]{3,90}? lautet )"
 #: Name, then address, then an e-mail address.
 NAME_AND_ADDRESS = r"(?:\bEscribir a |\bÉcrire à )"
-NAME_AND_ADDRESS_END = r", (?:o a|ou à) (?=\S+(?:@| ?[\[(]))"
+NAME_AND_ADDRESS_END = r", (?:o a|ou à) (?=\S+(?:@| ?[\[(]| at \S+ dot ))"
 
-EMAIL = re.compile(r"[\w.%+'-]+(?:@| ?[\[(] ?(?:at|AT|At) ?[\])] ?)[A-Za-z0-9-]+(?:(?:\.| ?[\[(] ?(?:\.|dot|DOT) ?[\])] ?)[A-Za-z0-9-]+)*(?:\.| ?[\[(] ?(?:\.|dot|DOT) ?[\])] ?)[A-Za-z]{2,}")
+_AT, _DOT = r"(?:@| ?[\[(] ?(?i:at) ?[\])] ?)", r"(?:\.| ?[\[(] ?(?i:\.|dot) ?[\])] ?| (?i:dot) )"
+EMAIL = re.compile(r"[\w.%+'-]+(?:" + _AT + r"[A-Za-z0-9-]+(?:" + _DOT + r"[A-Za-z0-9-]+)*" + _DOT + r"[A-Za-z]{2,}| (?i:at) [A-Za-z0-9-]+(?: (?i:dot) [A-Za-z0-9-]+)* (?i:dot) [A-Za-z]{2,})")
 PHONE = re.compile(r"(?<![\w+(./-])(?:\+ ?1[ .-]?|001[ .-]|1[ .-])?(?:\(\d{3}\) ?|\d{3}[ ./-])\d{3}[ .-]?\d{4}(?!\d)(?:,? ?(?:x|X|ext\.?|Ext\.?|extension) ?\d{1,6})?|(?<![\w+(./-])\+1\d{10}(?!\d)")
 BARE_PHONE = re.compile(r"(?:(?i:phone|tel\.?|telephone|direct|helpline|mobile|call(?: back)?|fax)(?: \| |: | = | \.{2,} | )|\b(?:at|al|au|unter|on|Nummer|member: [^\n]{3,60},) )((?:\+?1)?\d{10})(?!\d)")
 SSN = re.compile(r"(?<![\w-])\d{3}([- .])\d{2}\1\d{4}(?![\w-])")
@@ -244,7 +245,7 @@ def canonical(kind: str, value: str) -> str:
         d = re.sub(r"\W", "", value.lower().split("x")[0] if kind == "phone" else value.lower())
         return d[-10:] if kind == "phone" else d
     if kind == "email":
-        return re.sub(r" ?[\[(] ?(?:dot|\.) ?[\])] ?", ".", re.sub(r" ?[\[(] ?at ?[\])] ?", "@", value.lower()))
+        return re.sub(r" ?[\[(] ?(?:dot|\.) ?[\])] ?| dot ", ".", re.sub(r" ?[\[(] ?at ?[\])] ?| at ", "@", value.lower()))
     return " ".join(sorted(w for w in re.findall(r"\w+", value.lower()) if w not in TITLES))
 
 
