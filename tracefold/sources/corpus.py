@@ -14,11 +14,20 @@ from pyspark.sql import functions as F
 SKIPPED_FOLDERS, SKIPPED_FILES = ("_extracted_attachments", "_recovered"), ("manifest.json",)
 
 
+def _empty_files(raw: DataFrame) -> DataFrame:
+    """path of the files that the scan leaves out because they have no bytes: those of its file list (which the planner holds anyway) that it does not deliver."""
+    spark = raw.sparkSession
+    listed = spark.createDataFrame([(f,) for f in raw.inputFiles()], "value string")
+    paths = listed.select(F.regexp_replace(F.url_decode(F.regexp_replace("value", r"\+", "%2B")), "^file:/*", "/").alias("path"))
+    return paths.join(raw.select("path"), "path", "left_anti")
+
+
 def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     """relpath, filename, declared_extension, size_bytes, sha256 ('' for an empty file), content of every file below ``root``."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "length", "content")
+    raw = raw.unionByName(_empty_files(raw).select("path", F.lit(0).cast("bigint").alias("length"), F.lit(b"").cast("binary").alias("content")))
     base = re.sub("^file:/*", "/", root.rstrip("/")) + "/"
-    rel = F.substring_index(F.regexp_replace("path", "^file:/*", "/"), base, -1)
+    rel = F.substring_index("path", base, -1)
     name, folder = F.substring_index("relpath", "/", -1), F.element_at(F.split("relpath", "/"), -2)
     skip = F.when(F.size(F.split("relpath", "/")) > 1, folder.isin(*SKIPPED_FOLDERS)).otherwise(False) | name.isin(*SKIPPED_FILES)
     return (
