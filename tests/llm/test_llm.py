@@ -131,6 +131,16 @@ def test_p3_damage(spark):
     assert p3_scans.damaged(rec.limit(0), docs).count() == 0
 
 
+def test_p3_a_cut_word_is_misread_where_it_differs(spark):
+    clean = [(i, "nobody escalated the confidential papers of the audit", "txt") for i in range(5)]
+    filler = ["The confidential papers of the audit nobody escalated the", "confidential papers of the audit nobody escalated the papers"]
+    lines = [*filler, "of the audit nobody escalated. The papers nobody had esca-", "latcd the papers of the audit. Confidential papers were cscal-", "ated the confidential papers of the audit nobody escalated", *filler, "of the audit."]
+    docs = spark.createDataFrame([*clean, (50, None, "png")], "doc_id long, text string, sniffed_type string")
+    rec = spark.createDataFrame([(1, 50, "\n".join(lines), [])], "record_id long, document_id long, text string, page_spans array<struct<page:int,span_start:int,span_end:int>>")
+    got = pairs(p3_scans.damaged(rec, docs).where("kind in ('misread', 'hyphen')"))  # the first word errs in its second part, the second in its first
+    assert got == [(1, 3, "hyphen"), (1, 4, "hyphen"), (1, 4, "misread")]
+
+
 def test_p3_codes_round_trip():
     import numpy as np
 

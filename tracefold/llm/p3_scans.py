@@ -263,8 +263,8 @@ def candidates(word: str) -> set[str]:
     return {w for w in out if w.replace("-", "").replace("'", "").replace("’", "").isalpha()}
 
 
-def cuts(lines: list[str], state: np.ndarray) -> list[tuple[int, int, str, str]]:
-    """(line, next body line, joined word, hyphenated word) of body lines that end within a word."""
+def cuts(lines: list[str], state: np.ndarray) -> list[tuple[int, int, str, str, int]]:
+    """(line, next body line, joined word, hyphenated word, length of the first part) of body lines that end within a word."""
     out = []
     body = [i for i in range(len(lines)) if state[i] == BODY and lines[i].strip()]
     for i, j in zip(body, body[1:]):
@@ -272,7 +272,7 @@ def cuts(lines: list[str], state: np.ndarray) -> list[tuple[int, int, str, str]]
         if len(a) > 1 and a[-1] in MARKS and a[-2].isalpha() and b and b[0][0].isalpha():
             head = re.search(r"[^\s(\[\"“'¿¡]*$", a[:-1])[0].lower()
             tail = re.match(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*", b[0])[0]
-            out.append((i, j, head + tail.lower(), head + "-" + tail.lower() if tail[0].islower() else head + "-" + tail))
+            out.append((i, j, head + tail.lower(), head + "-" + tail.lower() if tail[0].islower() else head + "-" + tail, len(head)))
     return out
 
 
@@ -323,27 +323,27 @@ def labelled(records: DataFrame) -> DataFrame:
 
 
 def _tokens(lines: DataFrame) -> DataFrame:
-    """record_id, line_no, word of every different word in a body line; words cut at line ends are whole, on the line they begin."""
+    """record_id, line_no, word, next_no, head of every different word in a body line. A word cut at a line end is whole, on the line it begins, with the line it goes on in and the length of its first part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for r, t, s in zip(*(b.column(k).to_pylist() for k in range(3))):
                 ls = split_lines(t)
-                tails = {}
-                for i, j, joined, _ in cuts(ls, np.array(s)):
-                    tails[i], tails[j] = (joined, tails.get(i, ("", 0))[1]), ("", 1)
+                begun = {i: (j, joined, n) for i, j, joined, _, n in cuts(ls, np.array(s))}
+                goes_on = {j for j, _, _ in begun.values()}
                 for i, line in enumerate(ls):
                     if s[i] == BODY:
-                        joined, skip = tails.get(i, ("", 0))
-                        words = line.split()[skip:]
-                        if joined and words:
-                            words.pop()
-                        rows += [(r, i + 1, w) for w in sorted({word_of(x) for x in words} | ({joined} if joined else set())) if w]
-            cols = list(zip(*rows)) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.string()))], ["record_id", "line_no", "word"])
+                        words = line.split()[1 if i in goes_on else 0 :]
+                        if i in begun:
+                            j, joined, n = begun[i]
+                            words = words[:-1]
+                            rows.append((r, i + 1, joined, j + 1, n))
+                        rows += [(r, i + 1, w, None, None) for w in sorted({word_of(x) for x in words}) if w]
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32()))], ["record_id", "line_no", "word", "next_no", "head"])
 
-    return lines.select("record_id", "text", "state").mapInArrow(run, "record_id bigint, line_no int, word string")
+    return lines.select("record_id", "text", "state").mapInArrow(run, "record_id bigint, line_no int, word string, next_no int, head int")
 
 
 def _cut_rows(lines: DataFrame) -> DataFrame:
@@ -352,7 +352,7 @@ def _cut_rows(lines: DataFrame) -> DataFrame:
             rows = []
             for r, t, s in zip(*(b.column(k).to_pylist() for k in range(3))):
                 ls = split_lines(t)
-                rows += [(r, i + 1, j + 1, x, y.lower(), bool(y != y.lower()), ls[i].rstrip()[-1] != "-") for i, j, x, y in cuts(ls, np.array(s))]
+                rows += [(r, i + 1, j + 1, x, y.lower(), bool(y != y.lower()), ls[i].rstrip()[-1] != "-") for i, j, x, y, _ in cuts(ls, np.array(s))]
             cols = list(zip(*rows)) if rows else [[]] * 7
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["record_id", "line_no", "next_no", "joined", "compound", "capital", "soft"])
@@ -392,7 +392,9 @@ def damaged(parsed_records: DataFrame, documents: DataFrame) -> DataFrame:
     lines, wrong, c = _damage(scanned(parsed_records, documents), documents)
     flat = lines.select("record_id", F.posexplode("state").alias("i", "s")).where(F.col("s").isin(HEADER, PAGE)).select("record_id", (F.col("i") + 1).alias("line_no"), F.when(F.col("s") == HEADER, "header").otherwise("page_number").alias("kind"))
     hyphen = c.where("whole").select("record_id", "line_no", F.lit("hyphen").alias("kind"))
-    misread = wrong.select("record_id", "line_no", F.lit("misread").alias("kind"))
+    # of a cut word the part that differs from the right word is on the first or on the next line
+    later = F.col("head").isNotNull() & (F.substring("word", F.lit(1), F.col("head")) == F.substring("right", F.lit(1), F.col("head")))
+    misread = wrong.select("record_id", F.when(later, F.col("next_no")).otherwise(F.col("line_no")).alias("line_no"), F.lit("misread").alias("kind"))
     return flat.unionByName(hyphen).unionByName(misread).distinct()
 
 
