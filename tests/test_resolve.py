@@ -80,6 +80,14 @@ def test_words_of_furniture_are_cut(spark):
     assert [(r["t"]["name"], r["t"]["suppressed"]) for r in df.collect()] == [("Ann Lee", False), ("Page Header", True), ("Ann Page", False), ("Given Okonkwo", False), ("Ann Page Lee", False)]
 
 
+def test_chrome_of_many_documents(spark):
+    rows = [(d, None, "full_name", f"Page Header Name{d} Family{d}") for d in range(20)] + [(50 + d, None, "full_name", "Page Header") for d in range(3)] + [(99, None, "full_name", "Ann Lee"), (98, None, "ssn", "1")]
+    e = resolve.record_ids(extractions(spark, rows))
+    assert sorted(r["token"] for r in resolve.chrome_tokens(e).collect()) == ["header", "page"]
+    got = [r["normalized_value"] for r in resolve.trim_chrome(e).orderBy("id").collect()]
+    assert got == [f"Name{d} Family{d}" for d in range(20)] + ["Ann Lee", "1"]
+
+
 def test_role_names(spark):
     e = spark.createDataFrame([(r, "full_name", "Claims Desk") for r in range(3)] + [(r, "dob", f"19{r}0-01-01") for r in range(3)] + [(0, "full_name", "Ann Lee")], "root long, category string, normalized_value string")
     assert [r["name"] for r in resolve.role_names(e).collect()] == ["Claims Desk"]

@@ -94,10 +94,10 @@ def trimmed(name: Column, chrome: Column) -> Column:
 
 
 def trim_chrome(e: DataFrame) -> DataFrame:
-    """D6 for all full_name extractions: normalized_value trimmed, suppressed names dropped; the stored table is not changed. The chrome words are few by their threshold (each is in a fixed share of the documents)."""
-    t = chrome_tokens(e).orderBy("token").limit(10_000).agg(F.coalesce(F.array_sort(F.collect_list("token")), F.array().cast("array<string>")).alias("chrome"))
-    r = trimmed(F.col("normalized_value"), F.col("chrome"))
-    d = e.crossJoin(F.broadcast(t)).withColumn("_t", F.when(F.col("category") == "full_name", r))  # one row
+    """D6 for all full_name extractions: normalized_value trimmed, suppressed names dropped; the stored table is not changed. Each name meets only the chrome words that stand in it."""
+    n = e.where("category = 'full_name' and normalized_value is not null").select("id", F.explode(names.tokens(F.col("normalized_value"))).alias("token"))
+    own = salted_join(n, materialize(chrome_tokens(e)), ["token"]).groupBy("id").agg(F.collect_set("token").alias("chrome"))
+    d = e.join(own, "id", "left").withColumn("_t", F.when(F.col("chrome").isNotNull(), trimmed(F.col("normalized_value"), F.col("chrome"))))
     return d.where("_t is null or not _t.suppressed").withColumn("normalized_value", F.coalesce("_t.name", "normalized_value")).drop("_t", "chrome")
 
 
