@@ -109,6 +109,18 @@ def test_merges_pairs_and_rules(spark):
         resolve.apply_merges(links, people, spark.createDataFrame([(1, 1)], "keep long, merge long"))
 
 
+def test_all_pairs_of_a_value_that_many_share(spark):
+    n = 450
+    people = spark.createDataFrame([(i, "Ann Lee" if i % 2 else "lee, ann", None) for i in range(n)] + [(n, "Bob Ray", None)], "person_id long, best_known_full_name string, dob string")
+    ex = extractions(spark, [(i, None, "home_address", "1 A St") for i in range(n - 200, n + 1)])
+    links = spark.createDataFrame([(i + 1, n - 200 + i) for i in range(201)], "extraction_id long, person_id long")
+    pairs = resolve.candidate_pairs(people, links, ex, most=None)
+    want = {(a, b, "shared_address" if a >= n - 200 else "same_name") for b in range(n + 1) for a in range(b) if b < n or a >= n - 200}
+    got = [tuple(r) for r in pairs.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert resolve.adjudicate(pairs, resolve.dossiers(people, links, ex)).count() == len(want)
+
+
 def test_review_flow(spark):
     flags = spark.createDataFrame([(1, 1, "ssn", 0.5, 1, "needs_review"), (2, 1, "dob", 0.4, 1, "needs_review"), (3, 2, "ssn", 0.9, 1, "auto_accepted")], "id long, person_id long, category string, confidence double, evidence_count long, review_status string")
     people = spark.createDataFrame([(1, "RP-1", "Ann"), (2, "RP-2", "Bob"), (3, "RP-3", "Cid")], "id long, person_uid string, best_known_full_name string")

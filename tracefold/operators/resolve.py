@@ -164,22 +164,23 @@ def apply_merges(links: DataFrame, people: DataFrame, merges: DataFrame) -> tupl
     return moved, people.join(m.select("person_id"), "person_id", "left_anti")
 
 
-def candidate_pairs(people: DataFrame, links: DataFrame, extractions: DataFrame, ruled: DataFrame | None = None, most: int | None = 20, group_most: int = 200) -> DataFrame:
+def candidate_pairs(people: DataFrame, links: DataFrame, extractions: DataFrame, ruled: DataFrame | None = None, most: int | None = 20, block: int = 200) -> DataFrame:
     """A, b, signal of people that may be the same: of one address, or of one name. The ``most`` first of a fixed order (null: all).
 
-    Pairs are the feature here. A value shared by more than ``group_most`` people says nothing about any two of
-    them; its people are paired with the smallest one only, so that no link is lost and nothing grows with the square.
+    Pairs are the feature here: all pairs of a value are made, however many people share it. The people of a value
+    are dealt into blocks of about ``block``; each two blocks, and each block with itself, meet under a key of their
+    own, so that a value in very many rows is no single task.
     """
     a = links.join(extractions.where("category = 'home_address'").select(F.col("id").alias("extraction_id"), F.col("normalized_value").alias("value")), "extraction_id").select("value", "person_id", F.lit(0).alias("rank"), F.lit("shared_address").alias("signal"))
     n = people.where("best_known_full_name <> 'Unknown'").select(names.sorted_words(F.col("best_known_full_name")).alias("value"), "person_id", F.lit(1).alias("rank"), F.lit("same_name").alias("signal"))
     k = materialize(a.unionByName(n).where("value is not null").distinct())
-    size = k.groupBy("signal", "value").agg(F.count(F.lit(1)).alias("n"), F.min("person_id").alias("low"))
-    g = materialize(salted_join(k, size, ["signal", "value"]))
-    small = g.where(F.col("n").between(2, group_most))
-    other = small.select("signal", "value", F.col("person_id").alias("b"))
-    pairs = small.select("signal", "value", "rank", F.col("person_id").alias("a")).join(other, ["signal", "value"]).where("a < b").select("a", "b", "rank", "signal", "value")
-    many = g.where((F.col("n") > group_most) & (F.col("person_id") > F.col("low"))).select(F.col("low").alias("a"), F.col("person_id").alias("b"), "rank", "signal", "value")
-    best = pairs.unionByName(many).groupBy("a", "b").agg(F.min(F.struct("rank", "value", "signal")).alias("s"))
+    size = k.groupBy("signal", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    g = salted_join(k, size, ["signal", "value"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    g = materialize(g.withColumn("x", F.pmod(F.xxhash64("person_id"), F.col("blocks")).cast("int")))
+    one = g.select("signal", "value", "rank", F.col("person_id").alias("p"), "x", F.explode(F.sequence(F.col("x"), F.col("blocks") - 1)).alias("y"))
+    other = g.select("signal", "value", F.col("person_id").alias("q"), F.explode(F.sequence(F.lit(0), F.col("x"))).alias("x"), F.col("x").alias("y"))
+    met = one.join(other, ["signal", "value", "x", "y"]).where("x < y or p < q")
+    best = met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "rank", "signal", "value").groupBy("a", "b").agg(F.min(F.struct("rank", "value", "signal")).alias("s"))
     if ruled is not None:
         best = best.join(ruled.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
     out = best.select("a", "b", "s.signal", "s.rank", "s.value").orderBy("rank", "value", "a", "b")
