@@ -215,6 +215,27 @@ def test_p6_matches(spark):
     assert p6_matching.matches(persons.limit(0), flags, subjects).count() == 0
 
 
+def test_p6_common_name_against_brute_force(spark):
+    iso = lambda i: f"{1930 + i}-{i % 9 + 1:02d}-{i % 18 + 10:02d}"
+    near_ = lambda i: f"{1930 + i}-{i % 9 + 1:02d}-{i % 18 + 11:02d}"
+    slashed = lambda i: f"{i % 9 + 1:02d}/{i % 9 + 2:02d}/{1930 + i}"
+    persons = spark.createDataFrame([(i, "John Smithson", iso(i)) for i in range(60)] + [(100 + i, "Mary Smithson", f"{1930 + i}-{i % 9 + 2:02d}-{i % 9 + 1:02d}") for i in range(60)], "id long, best_known_full_name string, dob string")
+    flags = spark.createDataFrame([(1, 1, "dob")], "id long, person_id long, category string")
+    rows = [("John Smithson", near_(i)) for i in range(0, 60, 7)] + [("J. Smithson", iso(i)) for i in range(3, 60, 9)] + [("Smithson, John", None), ("John Smithsen", None), ("John Smithsno", None)] + [("Mary Smithson", slashed(i)) for i in range(1, 60, 7)] + [("Mary Smitshon", slashed(i)) for i in range(2, 60, 9)]
+    subjects = spark.createDataFrame([(500 + i, n, d, ["birth date"]) for i, (n, d) in enumerate(rows)], "subject_id long, listed_name string, birth_date string, data_types array<string>")
+    forms, _ = p6_matching._forms(persons, flags, subjects)
+    given = {"john": 1, "mary": 1}
+    keyed = p6_matching.materialize(p6_matching._keyed(forms, given))
+    got = set(pairs(p6_matching._edges(keyed, given, p6_matching.WINDOW).select("s", "p")))
+    sides = {"p": [], "s": []}
+    for r in keyed.collect():
+        r = r.asDict() | {"dates": p6_matching.dates(r["born"]), "given": given}
+        sides[r["side"]].append(r | {"types": set(r["types"]) if r["side"] == "p" else r["types"]})
+    want = {(s["form"], p["form"]): s for s in sides["s"] for p in sides["p"] if p6_matching.points(p, s) >= p6_matching.LEAST}
+    lost = [want[x] for x in want.keys() - got]
+    assert got <= want.keys() and not lost, f"{len(lost)} of {len(want)} pairs lost"
+
+
 def test_p6_dates():
     d = p6_matching.dates
     assert d("1988-05-15") == [(1988, 5, 15)] and d("05/15/1988")[0] == (1988, 5, 15) and d("25.05.78")[0] == (1978, 5, 25) and d("23 Feb 1961") == [(1961, 2, 23)]

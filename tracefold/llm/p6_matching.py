@@ -1,8 +1,9 @@
 """Problem 6: people and organisations matched across two tables without a common key.
 
 Sorted neighbourhood: both tables, different forms only, are sorted by several composite keys;
-in each order every row is compared with the WINDOW rows before it. Weighted similarities of
-name, date of birth and kinds of data give a confidence. A one-to-one assignment with the
+in each order every row is compared with the WINDOW rows before it. Forms that agree in the part
+of a key before the date, be it but for a misspelt letter, are all compared, in blocks, as no window is
+sure to reach over a common name. Weighted similarities of name, date of birth and kinds of data give a confidence. A one-to-one assignment with the
 largest total confidence (auction algorithm, exact up to the rounding of confidences) picks
 the leading person form of each subject; further forms of the same person follow it.
 """
@@ -37,7 +38,11 @@ TYPES = {
 }
 MONTHS = {m: i + 1 for i, ms in enumerate("jan,ene,janv feb,feb,fév mar,mär,mars apr,abr,avr may,mai,mayo jun,juin jul,juil aug,ago,août sep,sept oct,okt nov dec,dez,dic,déc".split()) for m in ms.split(",")}
 
-KEYS = ("k1", "k2", "k3", "k4")
+KEYS = ("k1", "k2", "k3", "k4", "k5")
+#: Parts of k3 and k4 without the date (forms that are equal in that of k1 are equal in both), and that of k3 with a letter of the family name left out.
+RUNS = ("r3", "r4", "r5")
+#: Forms of one side that a block of a run holds, about.
+BLOCK = 500
 
 
 def dates(text: str | None) -> list[tuple[int, int, int]]:
@@ -134,9 +139,10 @@ def _forms(persons: DataFrame, flags: DataFrame, subjects: DataFrame) -> tuple[D
 
 
 def _keyed(forms: DataFrame, given: dict[str, int]) -> DataFrame:
-    """Forms with their sort keys: family and given name and year; date and given name; reversed family; given name and consonants."""
+    """Forms with their sort keys: family and given name and year; date and given name; reversed family; given name and consonants; date in its last reading. And with their runs."""
     known = {**{x: 1 for k, v in NICKNAMES.items() for x in (k, *v.split(","))}, **given}
-    names = ["form", "side", "kind", "family", "first", "middle", "suffix", "born", "types", *KEYS]
+    names = ["form", "side", "kind", "family", "first", "middle", "suffix", "born", "types", *KEYS, *RUNS]
+    lists = ("types", "r5")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,21 +151,22 @@ def _keyed(forms: DataFrame, given: dict[str, int]) -> DataFrame:
                 kind, family, first, middle, suffix = taken_apart(name, known)
                 stem = full_names(first)[0] if kind == "person" else first
                 d = dates(born)
-                ymd = "%04d%02d%02d" % d[0] if d else "9999"
+                ymd, other = ("%04d%02d%02d" % d[i] if d else "9999" for i in (0, -1))
                 bones = re.sub(r"[aeiouy\W]|(.)(?=\1)", "", family)
-                k = (f"{family} {stem} {ymd}", f"{ymd} {stem} {family}", f"{family[::-1]} {stem[:1]} {ymd}", f"{stem} {bones} {ymd}")
-                rows.append((form, side, kind, family, first, middle, suffix, born, types, *k))
+                k = (f"{family} {stem} {ymd}", f"{ymd} {stem} {family}", f"{family[::-1]} {stem[:1]} {ymd}", f"{stem} {bones} {ymd}", f"{other} {stem} {family}")
+                r = (f"{kind} {family} {stem[:1]}", f"{kind} {stem} {bones}", sorted({f"{kind} {family[:i]}{family[i + 1 :]} {stem[:1]}" for i in range(len(family) + 1)}))
+                rows.append((form, side, kind, family, first, middle, suffix, born, types, *k, *r))
             cols = list(zip(*rows)) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.string()) if n == "types" else pa.string()) for n, c in zip(names, cols)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.string()) if n in lists else pa.string()) for n, c in zip(names, cols)], names)
 
-    return forms.select("form", "side", "name", "born", "types").mapInArrow(run, ", ".join(f"{n} {'array<string>' if n == 'types' else 'string'}" for n in names))
+    return forms.select("form", "side", "name", "born", "types").mapInArrow(run, ", ".join(f"{n} {'array<string>' if n in lists else 'string'}" for n in names))
 
 
 def _ordered(keyed: DataFrame, key: str) -> DataFrame:
     """``keyed`` with its position in the order of ``key``: partitions of a range sort, numbered one behind the other."""
     spark = keyed.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sorted_ = keyed.repartitionByRange(n, key, "form").sortWithinPartitions(key, "form").withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    sorted_ = keyed.drop(*RUNS).repartitionByRange(n, key, "form").sortWithinPartitions(key, "form").withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
     rows = materialize(sorted_)
     sizes = {r["_p"]: r["n"] for r in rows.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}  # one number a partition
     at, starts = 0, []
@@ -198,6 +205,53 @@ def _window(ordered: DataFrame, given: dict[str, int], window: int) -> DataFrame
     return rows.select("form", "side", "kind", "family", "first", "middle", "suffix", "born", "types", "piece").mapInArrow(run, "s string, p string, score double")
 
 
+def _runs(keyed: DataFrame, run: str, given: dict[str, int], block: int = BLOCK) -> DataFrame:
+    """s, p, score of all pairs of one ``run`` that have enough points. Each side of a run is dealt into blocks; a block of persons and one of subjects meet under a key of their own, so that no name makes a task long."""
+    keyed = keyed.withColumn("r5", F.explode("r5")) if run == "r5" else keyed
+    keyed = keyed.select("form", "side", "kind", "family", "first", "middle", "suffix", "born", "types", run)
+    count = lambda side: F.ceil(F.count_if(F.col("side") == side) / block).cast("int")
+    size = keyed.groupBy(run).agg(count("p").alias("np"), count("s").alias("ns")).where("np > 0 and ns > 0")
+    own = lambda n: F.pmod(F.xxhash64("form"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sized = salted_join(keyed, size, [run])
+    p = sized.where("side = 'p'").withColumn("x", own("np")).withColumn("y", every("ns"))
+    s = sized.where("side = 's'").withColumn("y", own("ns")).withColumn("x", every("np"))
+    rows = p.unionByName(s).repartition(run, "x", "y").sortWithinPartitions(run, "x", "y", "side")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        people: list[dict] = []
+        last = None
+        for b in batches:
+            found = []
+            for r in b.to_pylist():
+                if (cell := (r[run], r["x"], r["y"])) != last:
+                    last, people = cell, []
+                r["dates"], r["given"] = dates(r["born"]), given
+                if r["side"] == "p":
+                    r["types"] = set(r["types"] or ())
+                    people.append(r)
+                    continue
+                r["types"] = list(r["types"] or ())
+                for q in people:
+                    if run == "r5" and q["family"] == r["family"]:
+                        continue  # of one r3
+                    score = points(q, r)
+                    if score >= LEAST:
+                        found.append((r["form"], q["form"], score))
+            cols = list(zip(*found)) if found else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], ["s", "p", "score"])
+
+    return rows.select("form", "side", "kind", "family", "first", "middle", "suffix", "born", "types", run, "x", "y").mapInArrow(compare, "s string, p string, score double")
+
+
+def _edges(keyed: DataFrame, given: dict[str, int], window: int) -> DataFrame:
+    """s, p, score of the pairs of all orders and runs."""
+    edges = None
+    for found in [*(_window(_ordered(keyed, k), given, window) for k in KEYS), *(_runs(keyed, r, given) for r in RUNS)]:
+        edges = found if edges is None else edges.unionByName(found)
+    return edges.groupBy("s", "p").agg(F.max("score").alias("score"))
+
+
 def assign(edges: list[tuple[str, str, float]]) -> dict[str, str]:
     """One-to-one assignment of s to p with the largest total, by the auction algorithm on confidences rounded to thousandths; everyone may stay alone at value 0."""
     values: dict[str, dict[str, int]] = defaultdict(dict)
@@ -257,11 +311,7 @@ def matches(persons: DataFrame, flags: DataFrame, subjects: DataFrame, window: i
     forms = materialize(forms)
     given = p1_names.given_names(forms.select(p1_names.spelling(F.col("name")).alias("name")).distinct())
     keyed = materialize(_keyed(forms, given))
-    edges = None
-    for k in KEYS:
-        found = _window(_ordered(keyed, k), given, window)
-        edges = found if edges is None else edges.unionByName(found)
-    edges = materialize(edges.groupBy("s", "p").agg(F.max("score").alias("score")))
+    edges = materialize(_edges(keyed, given, window))
     lead = materialize(_assigned(edges))
     # further forms of the person: their best subject is this one, and they fit the leading form
     best = edges.groupBy("p").agg(F.max("score").alias("top"))
