@@ -291,6 +291,21 @@ def test_p7_replaces(spark):
     assert p7_pii.spans(rows.limit(0)).count() == 0 and p7_pii.redact(rows.limit(0)).count() == 0
 
 
+def test_p7_no_written_surrogate_is_shared(spark):
+    values = [("name", f"Bruno{i % 150} Alma{i // 150}".translate(str.maketrans("0123456789", "bcdfghklmn"))) for i in range(25_000)] + [("id_number", f"{i:03d}") for i in range(300)]
+    rows = [(k, p7_pii.canonical(k, v), v) for k, v in values]
+    assert len({r[:2] for r in rows}) == len(rows) > len({(k, p7_pii.surrogate(k, v, b"k")) for k, v in values[:25_000]}) + 300
+    ranks = {(r["pii_type"], r["canon"]): r["rank"] for r in p7_pii.distinct_ranks(spark.createDataFrame(rows, "pii_type string, canon string, value string"), b"k").collect()}
+    out = [(k, p7_pii.canonical(k, p7_pii.surrogate(k, v, b"k", ranks.get((k, c), 0)))) for k, c, v in rows]
+    assert ranks and len(set(out)) == len(rows)
+
+
+def test_p7_extensions_are_cut_as_they_are_found():
+    forms = ["212-555-0143" + e for e in ("", " x12", " X12", ", Ext. 12", " ext 12", " extension 12")]
+    assert {p7_pii.canonical("phone", v) for v in forms} == {"2125550143"}
+    assert len({p7_pii.surrogate("phone", v, b"k") for v in forms}) == 1
+
+
 def test_p7_surrogates_keep_form_and_identity():
     s = lambda k, v, r=0: p7_pii.surrogate(k, v, b"key", r)
     assert s("name", "Mrs. Ann Lee").startswith("Mrs. ") and s("name", "LEE, ANN").isupper() and "," in s("name", "Lee, Ann")

@@ -69,7 +69,8 @@ NAME_AND_ADDRESS_END = r", (?:o a|ou à) (?=\S+(?:@| ?[\[(]| at \S+ dot ))"
 
 _AT, _DOT = r"(?:@| ?[\[(] ?(?i:at) ?[\])] ?)", r"(?:\.| ?[\[(] ?(?i:\.|dot) ?[\])] ?| (?i:dot) )"
 EMAIL = re.compile(r"[\w.%+'-]+(?:" + _AT + r"[A-Za-z0-9-]+(?:" + _DOT + r"[A-Za-z0-9-]+)*" + _DOT + r"[A-Za-z]{2,}| (?i:at) [A-Za-z0-9-]+(?: (?i:dot) [A-Za-z0-9-]+)* (?i:dot) [A-Za-z]{2,})")
-PHONE = re.compile(r"(?<![\w+(./-])(?:\+ ?1[ .-]?|001[ .-]|1[ .-])?(?:\(\d{3}\) ?|\d{3}[ ./-])\d{3}[ .-]?\d{4}(?!\d)(?:,? ?(?:x|X|ext\.?|Ext\.?|extension) ?\d{1,6})?|(?<![\w+(./-])\+1\d{10}(?!\d)")
+_EXTENSION = r"(?:,? ?(?:x|X|ext\.?|Ext\.?|extension) ?\d{1,6})"
+PHONE = re.compile(r"(?<![\w+(./-])(?:\+ ?1[ .-]?|001[ .-]|1[ .-])?(?:\(\d{3}\) ?|\d{3}[ ./-])\d{3}[ .-]?\d{4}(?!\d)" + _EXTENSION + r"?|(?<![\w+(./-])\+1\d{10}(?!\d)")
 BARE_PHONE = re.compile(r"(?:(?i:phone|tel\.?|telephone|direct|helpline|mobile|call(?: back)?|fax)(?: \| |: | = | \.{2,} | )|\b(?:at|al|au|unter|on|Nummer|member: [^\n]{3,60},) )((?:\+?1)?\d{10})(?!\d)")
 SSN = re.compile(r"(?<![\w-])\d{3}([- .])\d{2}\1\d{4}(?![\w-])")
 SSN_CUE = re.compile(r"\bSSN(?: \| |: | = | \.{2,} | )(\d{9})(?!\d)")
@@ -239,10 +240,18 @@ STREETS = "Alder Beech Cedar Elm Fir Hazel Juniper Larch Maple Oak Pine Rowan Sp
 _SUFFIX = re.compile(r"(?i)^(?:jr|sr|junior|senior|ii|iii|co|company|inc|incorporated|ltd|limited|llc|gmbh|sa|corp)\.?$")
 
 
+_EXTENSION_END = re.compile(_EXTENSION + "$")
+
+
+def _number(kind: str, value: str) -> str:
+    """A phone number without its extension; other numbers as they are."""
+    return _EXTENSION_END.sub("", value) if kind == "phone" else value
+
+
 def canonical(kind: str, value: str) -> str:
     """What equal things have in common: digits of phones and numbers, lower-case words of the rest in sorted order, titles left out."""
     if kind in ("phone", "id_number"):
-        d = re.sub(r"\W", "", value.lower().split("x")[0] if kind == "phone" else value.lower())
+        d = re.sub(r"\W", "", _number(kind, value).lower())
         return d[-10:] if kind == "phone" else d
     if kind == "email":
         return re.sub(r" ?[\[(] ?(?:dot|\.) ?[\])] ?| dot ", ".", re.sub(r" ?[\[(] ?at ?[\])] ?| at ", "@", value.lower()))
@@ -264,8 +273,9 @@ def surrogate(kind: str, value: str, key: bytes, rank: int = 0) -> str:
         digits = canonical(kind, value)
         new = str(n % 10 ** len(digits)).zfill(len(digits)) if rank == 0 else str((n + rank * 7919) % 10 ** len(digits)).zfill(len(digits))
         out, it = [], iter(new)
-        lead = len(re.sub(r"\W", "", value.split("x")[0])) - len(digits) if kind == "phone" else 0
-        for c in value.split("x")[0] if kind == "phone" else value:
+        value = _number(kind, value)
+        lead = len(re.sub(r"\W", "", value)) - len(digits) if kind == "phone" else 0
+        for c in value:
             if c.isdigit() and lead > 0:
                 lead -= 1
                 out.append(c)
@@ -325,17 +335,46 @@ def texts(parsed_records: DataFrame, documents: DataFrame, extractions: DataFram
 
 
 def spans(rows: DataFrame, carry: bool = False) -> DataFrame:
-    """origin, row_id, char_start, char_end, pii_type of every find (offsets in code points); with ``carry`` also canon."""
+    """origin, row_id, char_start, char_end, pii_type of every find (offsets in code points); with ``carry`` also canon and value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             o, r, t = (b.column(i).to_pylist() for i in range(3))
-            out = [(o[i], r[i], a, e, k, *([canonical(k, x[a:e])] if carry else [])) for i, x in enumerate(t) for a, e, k in find(x)]
-            cols = list(zip(*out)) if out else [[]] * (5 + carry)
-            kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()][: 5 + carry]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["origin", "row_id", "char_start", "char_end", "pii_type", "canon"][: 5 + carry])
+            out = [(o[i], r[i], a, e, k, *([canonical(k, x[a:e]), x[a:e]] if carry else [])) for i, x in enumerate(t) for a, e, k in find(x)]
+            cols = list(zip(*out)) if out else [[]] * (5 + 2 * carry)
+            kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()][: 5 + 2 * carry]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["origin", "row_id", "char_start", "char_end", "pii_type", "canon", "value"][: 5 + 2 * carry])
+
+    return rows.select("origin", F.col("row_id").cast("bigint"), "text").mapInArrow(run, "origin string, row_id bigint, char_start int, char_end int, pii_type string" + ", canon string, value string" * carry)
+
+
+def distinct_ranks(values: DataFrame, secret: bytes) -> DataFrame:
+    """pii_type, canon, rank of the things whose surrogate would also be that of another. ``values``: distinct pii_type, canon, value.
+
+    What is compared is the surrogate as it is written for each value, read as :func:`canonical` reads it. Of the
+    things that share one the first keeps its rank and the others get higher ones, until none is shared. A group of
+    equal surrogates is small, as surrogates are spread by a keyed hash.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(b.column(i).to_pylist() for i in (0, 2, 3)))
+            s = [canonical(k, surrogate(k, v, secret, r)) for k, v, r in rows]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(s, pa.string())], ["pii_type", "canon", "value", "rank", "s"])
+
+    def written(rows: DataFrame) -> DataFrame:
+        return rows.select("pii_type", "canon", "value", "rank").mapInArrow(write, "pii_type string, canon string, value string, rank int, s string")
 
-    return rows.select("origin", F.col("row_id").cast("bigint"), "text").mapInArrow(run, "origin string, row_id bigint, char_start int, char_end int, pii_type string" + ", canon string" * carry)
+    now = materialize(written(values.withColumn("rank", F.lit(0))))
+    w = Window.partitionBy("pii_type", "s").orderBy("rank", "canon")
+    while True:
+        shared = now.groupBy("pii_type", "s").agg(F.min("canon").alias("lo"), F.max("canon").alias("hi")).where("lo <> hi").select("pii_type", "s")
+        again = now.join(shared, ["pii_type", "s"], "left_semi").select("pii_type", "s", "canon", "rank").distinct()
+        up = materialize(again.withColumn("k", F.row_number().over(w) - 1).groupBy("pii_type", "canon").agg(F.max("k").alias("up")).where("up > 0"))
+        if up.isEmpty():
+            return now.where("rank > 0").select("pii_type", "canon", "rank").distinct()
+        moved = written(now.join(up, ["pii_type", "canon"]).withColumn("rank", (F.col("rank") + F.col("up")).cast("int")))
+        now = materialize(now.join(up, ["pii_type", "canon"], "left_anti").unionByName(moved))
 
 
 def redact(rows: DataFrame, key: str = "change-me") -> DataFrame:
@@ -343,20 +382,10 @@ def redact(rows: DataFrame, key: str = "change-me") -> DataFrame:
 
     All distinct values of the corpus are met once (one row each): those whose surrogate
     is also that of another value get a rank, which is joined back to the texts they are in.
-    A group of equal surrogates is small, as surrogates are spread by a keyed hash.
     """
     secret = key.encode()
     found = materialize(spans(rows, carry=True))
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k, c = b.column(0).to_pylist(), b.column(1).to_pylist()
-            s = [surrogate(x, y, secret).lower() for x, y in zip(k, c)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.string())], ["pii_type", "canon", "s"])
-
-    values = found.select("pii_type", "canon").distinct().mapInArrow(name, "pii_type string, canon string, s string")
-    w = Window.partitionBy("pii_type", "s").orderBy("canon")
-    clash = values.withColumn("rank", F.row_number().over(w) - 1).where("rank > 0").select("pii_type", "canon", "rank")
+    clash = distinct_ranks(found.select("pii_type", "canon", "value").distinct(), secret)
     ranks = found.join(clash, ["pii_type", "canon"]).groupBy("origin", "row_id").agg(F.collect_set(F.struct("pii_type", "canon", "rank")).alias("ranks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
