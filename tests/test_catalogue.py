@@ -21,9 +21,8 @@ def test_against_sql(spark, name):
     for f in os.listdir(DATA):
         con.execute(f"create view {f.split('.')[0]} as select * from '{DATA}/{f}'")
     cur = con.execute(catalogue.SQL[name])
-    cols = sorted(d[0] for d in cur.description)
-    at = [[d[0] for d in cur.description].index(c) for c in cols]
-    want = sorted(tuple(norm(r[i]) for i in at) for r in cur.fetchall())
+    names = [d[0] for d in cur.description]
     df = catalogue.QUERIES[name](spark, DATA)
-    assert sorted(df.columns) == cols
-    assert sorted(tuple(norm(r[c]) for c in cols) for r in df.collect()) == want
+    assert len(set(df.columns)) == len(df.columns) and sorted(df.columns) == sorted(names)
+    at = [names.index(c) for c in df.columns]
+    assert sorted(tuple(map(norm, r)) for r in df.collect()) == sorted(tuple(norm(r[i]) for i in at) for r in cur.fetchall())

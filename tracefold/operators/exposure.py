@@ -76,11 +76,14 @@ def aliases(refs: DataFrame, people: DataFrame) -> DataFrame:
 
 
 def export_wide(people: DataFrame, flags_: DataFrame, refs: DataFrame) -> DataFrame:
-    """a row a person: uid, name, aliases, dob, status, lowest confidence (3 digits), source documents, and per category the distinct references if flagged, else null."""
-    lowest = refs.groupBy(F.col("person_id").alias("id")).agg(F.bround(F.min("confidence"), 3).alias("confidence"), F.count_distinct(F.when(F.col("category").isin(CATEGORIES), F.substring_index("ref", "#", 1))).alias("source_documents"))
-    flagged = refs.join(flags_.select("person_id", "category").distinct(), ["person_id", "category"], "left_semi")
-    wide = flagged.groupBy(F.col("person_id").alias("id")).pivot("category", CATEGORIES).agg(F.count_distinct("ref"))
-    return people.select("id", "person_uid", "best_known_full_name", "dob", "review_status").join(aliases(refs, people), "id", "left").join(lowest, "id", "left").join(wide, "id", "left").withColumn("aliases", F.coalesce("aliases", F.lit("")))
+    """a row a person: uid, name, aliases, dob, status, lowest confidence (3 digits), source documents, and per category ``<category>_evidence_count``: the distinct references if flagged (0 if there are none), else null."""
+    lowest = refs.groupBy(F.col("person_id").alias("id")).agg(F.bround(F.min("confidence"), 3).alias("resolution_confidence"), F.count_distinct(F.when(F.col("category").isin(CATEGORIES), F.substring_index("ref", "#", 1))).alias("source_documents"))
+    counted = refs.where(F.col("category").isin(CATEGORIES)).groupBy("person_id", "category").agg(F.count_distinct("ref").alias("n"))
+    flagged = flags_.select("person_id", "category").distinct().join(counted, ["person_id", "category"], "left")
+    each = [F.max(F.when(F.col("category") == c, F.coalesce("n", F.lit(0)))).alias(f"{c}_evidence_count") for c in CATEGORIES]
+    wide = flagged.groupBy(F.col("person_id").alias("id")).agg(*each)
+    p = people.select("id", "person_uid", "best_known_full_name", "dob", "review_status").join(aliases(refs, people), "id", "left").join(lowest, "id", "left").join(wide, "id", "left")
+    return p.select("id", "person_uid", "best_known_full_name", F.coalesce("aliases", F.lit("")).alias("known_aliases"), "dob", "review_status", "resolution_confidence", F.coalesce("source_documents", F.lit(0)).alias("source_documents"), *[f"{c}_evidence_count" for c in CATEGORIES])
 
 
 def export_long(people: DataFrame, flags_: DataFrame, refs: DataFrame) -> DataFrame:

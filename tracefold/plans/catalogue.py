@@ -96,16 +96,17 @@ def aliases(s: SparkSession, d: str) -> DataFrame:
     return exposure.aliases(source_refs(s, d), table(s, d, "persons"))
 
 
-_COUNTS = ", ".join(f"(SELECT nullif(count(DISTINCT r.ref), 0) FROM refs r WHERE r.person_id = p.id AND r.category = '{c}' AND EXISTS (SELECT 1 FROM exposure_flags f WHERE f.person_id = p.id AND f.category = '{c}')) AS {c}" for c in exposure.CATEGORIES)
+_COUNTS = ", ".join(f"max(CASE WHEN f.category = '{c}' THEN coalesce(n.n, 0) END) AS {c}_evidence_count" for c in exposure.CATEGORIES)
 
 
 @query(f"""
-WITH {_REFS}
-SELECT p.id, p.person_uid, p.best_known_full_name, p.dob, p.review_status,
-  coalesce((SELECT string_agg(DISTINCT r.normalized_value, '; ' ORDER BY r.normalized_value) FROM refs r WHERE r.person_id = p.id AND r.category = 'full_name' AND r.normalized_value <> p.best_known_full_name), '') AS aliases,
-  (SELECT min(confidence) FROM refs r WHERE r.person_id = p.id) AS confidence,
-  (SELECT count(DISTINCT split_part(ref, '#', 1)) FILTER (category <> 'full_name') FROM refs r WHERE r.person_id = p.id HAVING count(*) > 0) AS source_documents, {_COUNTS}
-FROM persons p
+WITH {_REFS},
+al AS (SELECT r.person_id AS id, string_agg(DISTINCT r.normalized_value, '; ' ORDER BY r.normalized_value) AS a FROM refs r JOIN persons p ON p.id = r.person_id WHERE r.category = 'full_name' AND r.normalized_value <> p.best_known_full_name GROUP BY 1),
+low AS (SELECT person_id AS id, round(min(confidence), 3) AS c, count(DISTINCT split_part(ref, '#', 1)) FILTER (category <> 'full_name') AS docs FROM refs GROUP BY 1),
+n AS (SELECT person_id, category, count(DISTINCT ref) AS n FROM refs GROUP BY ALL),
+w AS (SELECT f.person_id AS id, {_COUNTS} FROM (SELECT DISTINCT person_id, category FROM exposure_flags) f LEFT JOIN n USING (person_id, category) GROUP BY 1)
+SELECT p.id, p.person_uid, p.best_known_full_name, coalesce(al.a, '') AS known_aliases, p.dob, p.review_status, low.c AS resolution_confidence, coalesce(low.docs, 0) AS source_documents, w.* EXCLUDE (id)
+FROM persons p LEFT JOIN al USING (id) LEFT JOIN low USING (id) LEFT JOIN w USING (id)
 """)
 def export_wide(s: SparkSession, d: str) -> DataFrame:
     """F5"""
