@@ -346,14 +346,36 @@ def test_p8_table_of_pieces_may_overflow(monkeypatch):
 
 
 def test_p9_schedule_stays_within_a_block():
-    q = p9_mixing.quotas({"a": 0.5, "b": 0.3, "c": 0.17, "d": 0.03}, 100)
-    assert q == {"a": 50, "b": 30, "c": 17, "d": 3}
+    made = p9_mixing.slots(p9_mixing.weights({"a": 0.5, "b": 0.3, "c": 0.17, "d": 0.03}))
+    q = {g: n for g, _, n, _, _ in made}
+    assert q == {"a": 50, "b": 30, "c": 17, "d": 3} and {m[3] for m in made} == {100}
     seen = collections.Counter()
-    for s, i, slot in p9_mixing.schedule(q):
+    for s, i, slot in p9_mixing.schedule(q, 100):
         assert i == seen[s]
         seen[s] += 1
         assert all(abs(seen[x] - q[x] * (slot + 1) / 100) < 1 for x in q)
-    assert seen == collections.Counter(q) and p9_mixing.quotas({}, 10) == {}
+    assert seen == collections.Counter(q) and p9_mixing.slots({}) == []
+
+
+def place(made, source, b):
+    at = {g: (up, q, whole, xs) for g, up, q, whole, xs in made}
+    while source is not None:
+        source, q, whole, xs = at[source]
+        b = b // q * whole + xs[b % q]
+    return b
+
+
+@pytest.mark.parametrize("shares", [{f"s{i}": 1 / 1001 for i in range(1001)}, {"big": 1.0, "tiny": 3e-9}, {"a": 0.7123457, "b": 0.2876541, **{f"t{i}": 1e-8 * (i + 1) for i in range(30)}}, {f"s{i}": 1.0 for i in range(130)}])
+def test_p9_any_number_of_sources_and_any_share(shares):
+    w = p9_mixing.weights(shares)
+    made = p9_mixing.slots(w, period=1000, fine=10)
+    taken = collections.Counter()
+    for s in list(w)[:40]:
+        for n in (1, 7, 50):
+            slot = place(made, s, n - 1)  # by then the source should have had slot * w blocks, give or take one of its bundle's and the rounding
+            assert n - 1 - 0.2 * n <= float(w[s]) * slot <= n + 1 + 0.2 * n
+            taken[slot] += 1
+    assert max(taken.values()) == 1
 
 
 def test_p9_mix(spark):

@@ -3,8 +3,10 @@
 Pfair scheduling of blocks of tokens: block i of a source with weight w is released at slot
 floor((i-1)/w) and due at ceil(i/w); of the released blocks the one due earliest takes the next
 slot (ties: the source that comes first). So every prefix of the mixture deviates from the
-targets by less than one block a source. Weights are rounded to PERIOD-ths, so the schedule
-repeats after PERIOD slots; one period is made on the driver, everything else is joins.
+targets by less than one block a source. The schedule repeats after a period, the common
+denominator of the weights if that is at most PERIOD; otherwise weights are rounded to
+PERIOD-ths, and sources too small for that share the blocks of a bundle, which are dealt among
+them by the same rule. One period a bundle is made on the driver, everything else is joins.
 
 Documents of a source follow each other in a pseudo-random but fixed order; exact running
 token counts come from sums of hash ranges, never from one task over a source.
@@ -15,6 +17,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 from fractions import Fraction
+from math import lcm
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,35 +25,23 @@ from pyspark.sql import functions as F
 from tracefold.llm import p8_tokens
 from tracefold.runtime import materialize
 
-#: Tokens of a block, and slots after which the schedule repeats.
-BLOCK, PERIOD = 8192, 1000
+#: Tokens of a block, and the longest period of a schedule.
+BLOCK, PERIOD = 8192, 100_000
+#: Blocks a period that a source has at least where weights are rounded: the error is a part in FINE of its weight at most.
+FINE = 100
 #: Documents of a hash range, on average: what one window task sorts.
 RANGE_DOCS = 50_000
 
 
-def quotas(shares: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Blocks of each source in a period: shares over their sum, rounded by largest remainder (ties by name); every positive share keeps one."""
-    shares = {s: Fraction(str(x)) for s, x in shares.items() if x and x > 0}
-    total = sum(shares.values())
-    if not total:
-        return {}
-    exact = {s: x / total * period for s, x in shares.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (-(exact[s] - int(exact[s])), s))
-    i = 0
-    while sum(out.values()) != period:
-        s = order[i % len(order)]
-        if sum(out.values()) < period:
-            out[s] += 1
-        elif out[s] > 1:
-            out[s] -= 1
-        i += 1
-    return out
+def weights(shares: dict[str, float]) -> dict[str, Fraction]:
+    """Positive shares over their sum, exactly as written."""
+    exact = {s: Fraction(str(x)) for s, x in shares.items() if x and x > 0}
+    total = sum(exact.values())
+    return {s: x / total for s, x in exact.items()}
 
 
-def schedule(quota: dict[str, int]) -> list[tuple[str, int, int]]:
-    """(source, block of the period, slot): earliest deadline first over one period of a feasible Pfair system."""
-    period = sum(quota.values())
+def schedule(quota: dict[str, int], period: int) -> list[tuple[str, int, int]]:
+    """(source, block of the period, slot): earliest deadline first over one period of a feasible Pfair system. Slots stay empty if the quotas leave some."""
     blocks = sorted(((-(-i * period // q), (i - 1) * period // q, s, i - 1) for s, q in quota.items() for i in range(1, q + 1)), key=lambda b: b[1])
     ready: list[tuple[int, str, int]] = []
     out, k = [], 0
@@ -58,11 +49,50 @@ def schedule(quota: dict[str, int]) -> list[tuple[str, int, int]]:
         while k < len(blocks) and blocks[k][1] <= slot:
             heapq.heappush(ready, (blocks[k][0], blocks[k][2], blocks[k][3]))
             k += 1
-        due, source, i = heapq.heappop(ready)
-        out.append((source, i, slot))
+        if ready:
+            _, source, i = heapq.heappop(ready)
+            out.append((source, i, slot))
     return out
 
 
+def slots(parts: dict[str, Fraction], period: int = PERIOD, fine: int = FINE, name: str = "") -> list[tuple[str, str | None, int, int, list[int]]]:
+    """(key, bundle, blocks a period, period, their slots) of every source and bundle; bundle is null at the top, where slots are those of the mixture.
+
+    ``parts``: what each source takes of all slots, 1 together at most. For any number of sources: those with
+    less than ``fine`` blocks a period are put together in bundles, whose blocks are dealt out in the same way.
+    """
+    parts = {s: Fraction(w) for s, w in parts.items() if w > 0}
+    if not parts:
+        return []
+    whole = lcm(*(w.denominator for w in parts.values()))
+    inner: list = []
+    if whole <= period:
+        quota = {s: int(w * whole) for s, w in parts.items()}
+    else:
+        least = Fraction(fine, period)
+        groups: dict[str, dict[str, Fraction]] = {s: {s: w} for s, w in parts.items() if w >= least}
+        small: dict[str, Fraction] = {}
+        for s, w in sorted(((s, w) for s, w in parts.items() if w < least), key=lambda x: (-x[1], x[0])):
+            small[s] = w
+            if sum(small.values()) >= least:
+                groups[f"{name}\0{len(groups)}"], small = small, {}
+        if small:
+            groups[f"{name}\0{len(groups)}"] = small
+        goal = {g: sum(m.values()) * period for g, m in groups.items()}
+        quota = {g: int(x) if g in parts else -(-x.numerator // x.denominator) for g, x in goal.items()}
+        spare = period - sum(quota.values())
+        for g in sorted((g for g in quota if g in parts), key=lambda g: (quota[g] - goal[g], g))[: max(0, spare)]:
+            quota[g] += 1
+        whole = max(period, sum(quota.values()))
+        for g, m in groups.items():
+            if g not in parts:
+                inner += slots({s: w * period / quota[g] for s, w in m.items()}, period, fine, g)
+    at: dict[str, list[int]] = {g: [] for g in quota}
+    for g, _, slot in schedule(quota, whole):
+        at[g].append(slot)
+    return [(g, name or None, quota[g], whole, at[g]) for g in quota] + inner
+
+
 def sizes(docs: DataFrame, targets: DataFrame, vocab: str = p8_tokens.VOCAB) -> DataFrame:
     """doc_id, source, n_tokens of the documents of the target sources; null and empty texts have 0 tokens."""
     mine = docs.where("doc_id is not null").join(F.broadcast(targets.where("source is not null").select("source").distinct()), "source", "left_semi")
@@ -115,12 +145,15 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, block: in
     rest = F.col("goal") - full * F.col("have")
     d = d.withColumn("copies", (full + (F.col("before") < rest).cast("int")).cast("int")).where("copies > 0")
     d = d.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).withColumn("at", (F.col("copy") - 1) * F.col("have") + F.col("before"))
-    quota = quotas({s: w for s, w, _, _, g in plan if g > 0}, period)
-    slots = spark.createDataFrame([(s, i, k, quota[s]) for s, i, k in schedule(quota)] or [("", 0, 0, 1)], "source string, i int, slot0 int, q int")
-    q = spark.createDataFrame(sorted(quota.items()) or [("", 1)], "source string, q int")
-    d = d.join(F.broadcast(q), "source").withColumn("b", F.floor(F.col("at") / block)).withColumn("i", (F.col("b") % F.col("q")).cast("int"))
-    d = d.join(F.broadcast(slots.drop("q")), ["source", "i"])
-    return d.select("doc_id", "source", "copy", "n_tokens", (F.floor(F.col("b") / F.col("q")) * period + F.col("slot0")).alias("slot"), "at")
+    made = slots(weights({s: w for s, w, _, _, g in plan if g > 0}), period)
+    place = spark.createDataFrame([(g, i, x) for g, _, _, _, xs in made for i, x in enumerate(xs)], "key string, i int, x int")  # PERIOD rows a bundle at most
+    turn = spark.createDataFrame([(g, up, q, whole) for g, up, q, whole, _ in made], "key string, up string, q int, whole int")
+    d = d.withColumns({"key": F.col("source"), "b": F.floor(F.col("at") / block)})
+    depth = max((g.count("\0") for g, *_ in made), default=0) + 1
+    for _ in range(depth):  # from the bundle of a source up to the mixture
+        d = d.join(F.broadcast(turn), "key", "left").withColumn("i", (F.col("b") % F.col("q")).cast("int")).join(F.broadcast(place), ["key", "i"], "left")
+        d = d.withColumns({"b": F.when(F.col("x").isNull(), F.col("b")).otherwise(F.floor(F.col("b") / F.col("q")) * F.col("whole") + F.col("x")), "key": F.col("up")}).drop("up", "q", "whole", "i", "x")
+    return d.select("doc_id", "source", "copy", "n_tokens", F.col("b").alias("slot"), "at")
 
 
 def shares(docs: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
