@@ -15,6 +15,7 @@ import re
 from collections import defaultdict, deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +29,10 @@ from tracefold.runtime import materialize, salted_join
 WINDOW = 24
 #: Rows of a piece of a sort order that one task goes through.
 PIECE = 20_000
-#: Points that a pair needs.
-LEAST = 4.3
+#: Points that a pair needs: family name and initial and nothing that speaks against it, say, or family name and given name.
+LEAST = 3.1
+#: Letters that two family names which may be one can have in only one of them.
+LETTERS_APART = 6
 
 # Wordings of the other office and the categories they mean.
 TYPES = {
@@ -74,6 +77,8 @@ def date_points(person: list[tuple[int, int, int]], subject: list[tuple[int, int
             got = 3.0 if s[1] and p[:2] == s[:2] else 2.0 if not s[1] and p[0] == s[0] else -5.0
         elif p == s:
             got = 5.0 - i
+        elif p == (s[0], s[2], s[1]):
+            got = 3.0 - i
         else:
             got = 1.5 - i if sum(x == y for x, y in zip(p, s)) == 2 else -5.0
         best = max(best, got)
@@ -141,8 +146,9 @@ def _forms(persons: DataFrame, flags: DataFrame, subjects: DataFrame) -> tuple[D
 def _keyed(forms: DataFrame, given: dict[str, int]) -> DataFrame:
     """Forms with their sort keys: family and given name and year; date and given name; reversed family; given name and consonants; date in its last reading. And with their runs."""
     known = {**{x: 1 for k, v in NICKNAMES.items() for x in (k, *v.split(","))}, **given}
-    names = ["form", "side", "kind", "family", "first", "middle", "suffix", "born", "types", *KEYS, *RUNS]
-    lists = ("types", "r5")
+    names = ["form", "side", "kind", "family", "first", "middle", "suffix", "born", "types", "letters", *KEYS, *RUNS]
+    kinds = {"types": "array<string>", "r5": "array<string>", "letters": "bigint"}
+    arrow = {"array<string>": pa.list_(pa.string()), "bigint": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -155,11 +161,27 @@ def _keyed(forms: DataFrame, given: dict[str, int]) -> DataFrame:
                 bones = re.sub(r"[aeiouy\W]|(.)(?=\1)", "", family)
                 k = (f"{family} {stem} {ymd}", f"{ymd} {stem} {family}", f"{family[::-1]} {stem[:1]} {ymd}", f"{stem} {bones} {ymd}", f"{other} {stem} {family}")
                 r = (f"{kind} {family} {stem[:1]}", f"{kind} {stem} {bones}", sorted({f"{kind} {family[:i]}{family[i + 1 :]} {stem[:1]}" for i in range(len(family) + 1)}))
-                rows.append((form, side, kind, family, first, middle, suffix, born, types, *k, *r))
+                rows.append((form, side, kind, family, first, middle, suffix, born, types, letters(family), *k, *r))
             cols = list(zip(*rows)) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.string()) if n in lists else pa.string()) for n, c in zip(names, cols)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, arrow.get(kinds.get(n), pa.string())) for n, c in zip(names, cols)], names)
 
-    return forms.select("form", "side", "name", "born", "types").mapInArrow(run, ", ".join(f"{n} {'array<string>' if n in lists else 'string'}" for n in names))
+    return forms.select("form", "side", "name", "born", "types").mapInArrow(run, ", ".join(f"{n} {kinds.get(n, 'string')}" for n in names))
+
+
+def letters(word: str) -> int:
+    """The letters of a word as bits, other characters but hyphens by their code."""
+    out = 0
+    for c in word:
+        if c != "-":
+            out |= 1 << (ord(c) - 97 if "a" <= c <= "z" else 26 + ord(c) % 37)
+    return out
+
+
+def _side(r: dict, given: dict[str, int]) -> dict:
+    """A form made ready for ``points``."""
+    r["dates"], r["given"] = dates(r["born"]), given
+    r["types"] = set(r["types"] or ()) if r["side"] == "p" else list(r["types"] or ())
+    return r
 
 
 def _ordered(keyed: DataFrame, key: str) -> DataFrame:
@@ -181,28 +203,36 @@ def _window(ordered: DataFrame, given: dict[str, int], window: int) -> DataFrame
     piece = F.floor(F.col("pos") / PIECE)
     rows = ordered.withColumn("piece", F.explode(F.when(F.col("pos") % PIECE >= PIECE - window, F.array(piece, piece + 1)).otherwise(F.array(piece)))).repartition("piece").sortWithinPartitions("piece", "pos")
 
+    fields = ["form", "side", "kind", "family", "first", "middle", "suffix", "born", "types"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: deque = deque(maxlen=window)
-        last = None
+        before: pa.Table | None = None
         for b in batches:
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([before, t]) if before is not None else t
+            new = len(t) - len(b)  # rows from here on meet those within the window before them
+            before = t.slice(max(0, len(t) - window))
+            side, piece, bits = (t[c].to_numpy() for c in ("is_p", "piece", "letters"))
+            near_ = [[np.zeros(0, np.int64)] * 2]
+            for k in range(1, min(window, len(t) - 1) + 1):
+                a, z = np.arange(max(0, new - k), len(t) - k), np.arange(max(k, new), len(t))
+                apart = bits[a] ^ bits[z]
+                ok = (side[a] != side[z]) & (piece[a] == piece[z])
+                ok &= (np.bitwise_count(apart) <= LETTERS_APART) | ((bits[a] & bits[z]) == np.minimum(bits[a], bits[z])) | ((bits[a] & bits[z]) == np.maximum(bits[a], bits[z]))
+                near_.append([a[ok], z[ok]])
+            first, second = (np.concatenate([x[i] for x in near_]) for i in (0, 1))
+            rows = np.unique(np.concatenate([first, second]))
+            made = {int(i): _side(r, given) for i, r in zip(rows, t.select(fields).take(pa.array(rows)).to_pylist())}
             found = []
-            for r in b.to_pylist():
-                if r["piece"] != last:
-                    last = r["piece"]
-                    recent.clear()
-                r["dates"], r["given"] = dates(r["born"]), given
-                r["types"] = set(r["types"] or ()) if r["side"] == "p" else list(r["types"] or ())
-                for q in recent:
-                    if q["side"] != r["side"]:
-                        p, s = (q, r) if q["side"] == "p" else (r, q)
-                        score = points(p, s)
-                        if score >= LEAST:
-                            found.append((s["form"], p["form"], score))
-                recent.append(r)
+            for x, y in zip(first.tolist(), second.tolist()):
+                p, s = (made[x], made[y]) if side[x] else (made[y], made[x])
+                score = points(p, s)
+                if score >= LEAST:
+                    found.append((s["form"], p["form"], score))
             cols = list(zip(*found)) if found else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], ["s", "p", "score"])
 
-    return rows.select("form", "side", "kind", "family", "first", "middle", "suffix", "born", "types", "piece").mapInArrow(run, "s string, p string, score double")
+    return rows.select(*fields, "letters", (F.col("side") == "p").alias("is_p"), "piece").mapInArrow(run, "s string, p string, score double")
 
 
 def _runs(keyed: DataFrame, run: str, given: dict[str, int], block: int = BLOCK) -> DataFrame:
@@ -226,12 +256,10 @@ def _runs(keyed: DataFrame, run: str, given: dict[str, int], block: int = BLOCK)
             for r in b.to_pylist():
                 if (cell := (r[run], r["x"], r["y"])) != last:
                     last, people = cell, []
-                r["dates"], r["given"] = dates(r["born"]), given
+                r = _side(r, given)
                 if r["side"] == "p":
-                    r["types"] = set(r["types"] or ())
                     people.append(r)
                     continue
-                r["types"] = list(r["types"] or ())
                 for q in people:
                     if run == "r5" and q["family"] == r["family"]:
                         continue  # of one r3
