@@ -59,12 +59,17 @@ def _p7_texts(spark: SparkSession, d: str) -> DataFrame:
     return p7_pii.texts(table(spark, d, "parsed_records"), table(spark, d, "documents"), table(spark, d, "extractions"))
 
 
+def _p7_names(spark: SparkSession, d: str) -> DataFrame:
+    return p7_pii.name_words(table(spark, d, "extractions"), table(spark, d, "persons"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_pii.spans(_p7_texts(spark, d))
+    return p7_pii.spans(_p7_texts(spark, d), _p7_names(spark, d))
 
 
 def p7_text(spark: SparkSession, d: str) -> DataFrame:
-    return p7_pii.redact(_p7_texts(spark, d))
+    """The key is that of the tests; for data of one's own a secret one is passed to ``redact``."""
+    return p7_pii.redact(_p7_texts(spark, d), "key of the tests", _p7_names(spark, d))
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
