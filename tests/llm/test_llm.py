@@ -179,7 +179,33 @@ def test_p4_pairs(spark):
 
 def test_p4_what_is_ambiguous_stays_open(spark):
     r = spark.createDataFrame([(1, "9467 Dikirash Hwy, Lakefield, OR 17601", "x"), (2, "9467 Dikirash Highway, Oakbury, OH 65265", "x"), (3, "9467 Dikirash Hwy", "x"), (4, "9467 Dikirash Hwy, 17601", "x")], "row_id long, home_address string, x string")
-    assert pairs(p4_places.pairs(p4_places.address_records(r, ex(spark, []).limit(0)))) == [(1, 4)]
+    every = p4_places.address_records(r, ex(spark, []).limit(0))
+    assert pairs(p4_places.pairs(every)) == [(1, 4)]
+    at = {x["address_id"]: x["location"] for x in p4_places.locations(every).collect()}
+    assert {(x["address_id"], x["location"]) for x in p4_places.candidates(every).collect()} == {(3, at[1]), (3, at[2])}
+    assert p4_places.candidates(every.limit(0)).count() == 0
+
+
+def test_p4_house_numbers_of_any_length_and_with_letters(spark):
+    assert p4_places.parse("12345 Oak Street, Denver, CO 80202") == ("us", "12345", "", "", "oak", "street", "denver", "co", "80202")
+    assert p4_places.parse("12345 N Main St, Springfield, IL")[1:9] == ("12345", "", "n", "main", "street", "springfield", "il", "")
+    assert p4_places.parse("221B Baker Street, Denver, CO 80202")[1] == "221b" and p4_places.parse("1234567 Long Rd, Denver, CO")[1] == "1234567"
+    assert p4_places.parse("12-34 Oak St, Denver, CO 80202")[1] == "12-34" and p4_places.parse("80202 Denver, CO, 17 Oak St")[8] == "80202"
+    r = spark.createDataFrame([(1, "12345 Oak Street, Denver, CO 80202", "x"), (2, "CO 80202 Denver; 12345 Oak St", "x"), (3, "12346 Oak Street, Denver, CO 80202", "x"), (4, "221B Baker St, Denver, CO 80202", "x"), (5, "221b baker street, Denver CO", "x"), (6, "221 Baker Street, Denver, CO 80202", "x")], "row_id long, home_address string, x string")
+    assert pairs(p4_places.pairs(p4_places.address_records(r, ex(spark, []).limit(0)))) == [(1, 2), (4, 5)]
+
+
+def test_p4_gathers_alike_with_and_without_index(monkeypatch):
+    r = random.Random(4)
+    words = ["".join(r.choice("aeilnorst") for _ in range(r.randint(3, 8))) for _ in range(12)]
+    spell = lambda w: w if r.random() < 0.5 else w[:2] + w[3:] if r.random() < 0.5 else w[:1] + r.choice("xyz") + w[1:]
+    for _ in range(20):
+        s = sorted({(spell(r.choice(words)), r.choice(["", "n", "s"]), r.choice(["", "street"]), r.choice(["", "co"])): r.randint(1, 9) for _ in range(40)}.items())
+        s = [(*k, n) for k, n in s]
+        monkeypatch.setattr(p4_places, "FEW", 10**6)
+        a = p4_places.gather(s)
+        monkeypatch.setattr(p4_places, "FEW", 0)
+        assert p4_places.gather(s) == a
 
 
 # ---------------------------------------------------------------- 5

@@ -1,12 +1,15 @@
 """Problem 4: address records of the same location, matched from the region down to the unit.
 
-An address is parsed into parts whatever their order. Places are linked level by level: post
-codes and places name each other (the majority over all addresses decides, typing errors go
-to the place they are near to), within a place the house number and unit narrow the streets
-down to few spellings, which gather around the most frequent one. An address without its
-place keeps all places that have such a street and number as candidates and takes over the
-place only if its post code or their number leaves one; otherwise it stays open and links only
-to what has the same post code, number and street.
+An address is parsed into parts whatever their order. Then it is placed level by level. Region:
+the country by its notation, the state as given, or as the other addresses of its post code and
+place, or of its place, give it if they agree. Locality: post codes and places of a region name
+each other (the majority decides, typing errors go to the place they are near to). Street: within
+a place the spellings of a street gather around the most frequent one where their numbers meet.
+Number and unit must be equal. A missing level inherits all candidates of the level above: an
+address without its place keeps all places that have such a street and number, and takes one
+over only if its post code or their number leaves a single one; otherwise it stays open, its
+candidates are listed by :func:`candidates`, and it links only to what has the same post code,
+number and street.
 """
 
 from __future__ import annotations
@@ -48,6 +51,10 @@ _FRENCH = re.compile(r"\b(\d+)(?:\s*(?:bis|ter))?\W+(?:rue|r)\b\W+(?:(?:de la|de
 _SPANISH = re.compile(r"\b(?:calle|cl|c)\b[\W]+(?:(?:de la|de los|de|del|la)\s+)?([^\W\d_]+)\W+(?:n[oº°]?\W*)?(\d+)\b")
 
 
+#: A number with a street and its type right behind is no post code.
+_STREET_BEHIND = re.compile(r"\s+(?:(?:[nsew]|north|south|east|west)\.?\s+)?(?:(?!(?:[nsew]|north|south|east|west)\b)[^\W\d_]+\s+){1,3}?(?:" + "|".join(sorted(TYPES, key=len, reverse=True)) + r")\b")
+
+
 def parse(address: str | None) -> tuple[str, str, str, str, str, str, str, str, str] | None:
     """kind, number, unit, direction, street, type, city, state, zip; '' for what is missing. None if there is neither number nor street."""
     if not address or not address.strip():
@@ -60,7 +67,7 @@ def parse(address: str | None) -> tuple[str, str, str, str, str, str, str, str,
         unit = m[1]
         s = s[: m.start()] + " , " + s[m.end() :]
     zip5 = ""
-    z = list(re.finditer(r"\b\d{5}(?:-\d{4})?\b", s))
+    z = [m for m in re.finditer(r"\b\d{5}(?:-\d{4})?\b", s) if not _STREET_BEHIND.match(s, m.end())]
     if z:
         zip5 = z[-1].group()[:5]
         s = s[: z[-1].start()] + " ; " + s[z[-1].end() :]
@@ -80,7 +87,7 @@ def parse(address: str | None) -> tuple[str, str, str, str, str, str, str, str,
     elif m := _GERMAN.search(s):
         kind, street, number = "de", m[1], m[2]
         s = s[: m.start()] + " , " + s[m.end() :]
-    elif m := re.search(r"(?<![\w])(\d{1,4})(?![\w])", s):
+    elif m := re.search(r"(?<![\w-])(\d+(?:-\d+)?[a-z]?)(?!\w)", s):
         kind, number = "us", m[1]
         before, after = s[: m.start()], s[m.end() :]
         parts = [w for w in re.split(r"([,;()]|\s-\s|\s+|\.)", after) if w and w.strip() or w == ","]
@@ -190,15 +197,25 @@ def place_names(forms: DataFrame) -> DataFrame:
     return by_city.join(close.groupBy("city").agg(F.max_by("place", F.struct("m", "place")).alias("place")), "city", "left").select("city", F.coalesce("place", "city").alias("place"))
 
 
+def _agreed(forms: DataFrame, keys: list[str], share: float, name: str) -> DataFrame:
+    """``keys`` -> ``name``: the state that at least ``share`` of the addresses that give one agree on."""
+    n = forms.where("state <> '' and region = 'us'").groupBy(*keys, "state").agg(F.sum("n").alias("n"))
+    top = n.groupBy(*keys).agg(F.max_by("state", F.struct("n", "state")).alias(name), F.max("n").alias("top"), F.sum("n").alias("all"))
+    return top.where(F.col("top") >= share * F.col("all")).select(*keys, name)
+
+
 def located(forms: DataFrame) -> DataFrame:
-    """``forms`` with region (the notation of a country) and place: that of the city, corrected by its post code within the region if they are near; null without a city."""
+    """``forms`` with region (the country), place and state: the place of the city, corrected by its post code within the region if they are near, null without a city; the state as given, or that of its post code and place, or that of its place if it is in one state only."""
     f = forms.withColumn("region", F.when(F.col("kind") == "box", "us").otherwise(F.col("kind")))
     f = materialize(salted_join(f, place_names(forms).withColumnRenamed("place", "cp"), ["city"], "left"))
     zc = f.where("zip <> '' and cp is not null").groupBy("region", "zip", "cp").agg(F.sum("n").alias("n"))
     by_zip = zc.groupBy("region", "zip").agg(F.max_by("cp", F.struct("n", "cp")).alias("zp"), F.max("n").alias("top"), F.sum("n").alias("all")).where(F.col("top") >= MAJORITY * F.col("all")).select("region", "zip", "zp")
     f = salted_join(f, materialize(by_zip), ["region", "zip"], "left")
     near_zip = F.levenshtein("cp", "zp") <= F.when(F.length("cp") < 6, 1).otherwise(2)
-    return f.withColumn("place", F.when(F.col("zp").isNotNull() & near_zip, F.col("zp")).otherwise(F.col("cp"))).drop("zp", "cp")
+    f = materialize(f.withColumn("place", F.when(F.col("zp").isNotNull() & near_zip, F.col("zp")).otherwise(F.col("cp"))).drop("zp", "cp"))
+    f = salted_join(f, materialize(_agreed(f.where("zip <> '' and place is not null"), ["zip", "place"], MAJORITY, "s1")), ["zip", "place"], "left")
+    f = salted_join(f, materialize(_agreed(f.where("place is not null"), ["place"], 1.0, "s2")), ["place"], "left")
+    return f.withColumn("own", F.when((F.col("region") == "us") & (F.col("state") == ""), F.coalesce("s1", "s2", F.lit(""))).otherwise(F.col("state"))).drop("s1", "s2")
 
 
 def gather(spellings: list[tuple[str, str, str, str, int]]) -> list[int]:
@@ -206,18 +223,37 @@ def gather(spellings: list[tuple[str, str, str, str, int]]) -> list[int]:
     order = sorted(range(len(spellings)), key=lambda i: (-spellings[i][4], spellings[i][:4] == ("", "", "", ""), spellings[i][:4]))
     order.sort(key=lambda i: (not spellings[i][1], not spellings[i][2]))  # complete ones lead
     leads: list[int] = []
+    index: dict[str, list[int]] = {}  # what is left of a leading street without letters -> the leads
+    many = len(spellings) > FEW
     out = [0] * len(spellings)
     for i in order:
         s = spellings[i]
-        fits = [j for j in leads if fit(spellings[j], s)]
+        near_ = sorted({j for v in _without(s[0], 2) for j in index.get(v, ())}) if many else leads
+        fits = [j for j in near_ if fit(spellings[j], s)]
         exact = [j for j in fits if spellings[j][0] == s[0]] or fits
         if len(exact) == 1 or len(exact) > 1 and len({spellings[j][0] for j in exact}) > 1:
-            out[i] = max(exact, key=lambda j: spellings[j][4])
+            out[i] = min(exact, key=lambda j: (-spellings[j][4], spellings[j][:4]))
         elif exact and all(spellings[j][1:3] == s[1:3] for j in exact):
             out[i] = exact[0]
         else:
             leads.append(i)
             out[i] = i
+            if many:
+                for v in _without(s[0], tolerance(s[0])):
+                    index.setdefault(v, []).append(i)
+    return out
+
+
+#: Spellings of a block that are compared with each other without an index.
+FEW = 12
+
+
+def _without(word: str, most: int) -> set[str]:
+    """``word`` and what is left of it without up to ``most`` letters: words that few changes apart share one."""
+    out = now = {word}
+    for _ in range(most):
+        now = {w[:i] + w[i + 1 :] for w in now for i in range(len(w))}
+        out = out | now
     return out
 
 
@@ -227,14 +263,14 @@ def fit(a: tuple, b: tuple) -> bool:
 
 def _led(spelt: DataFrame, block: list[str]) -> DataFrame:
     """Spellings of each block with their location and its leading spelling. A block holds the different spellings of one place, number and unit, however many records they have."""
-    groups = spelt.groupBy(*block).agg(F.collect_list(F.struct("street", "direction", "type", "state", "n")).alias("s"))
-    names = [*block, "street", "direction", "type", "state", "location", "l_street", "l_direction", "l_type", "l_state"]
+    groups = spelt.groupBy(*block).agg(F.collect_list(F.struct("street", "direction", "type", "own", "n")).alias("s"))
+    names = [*block, "street", "direction", "type", "own", "location", "l_street", "l_direction", "l_type", "l_state"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for *key, s in zip(*(b.column(k).to_pylist() for k in range(len(block) + 1))):
-                s = sorted((x["street"], x["direction"], x["type"], x["state"], x["n"]) for x in s)
+                s = sorted((x["street"], x["direction"], x["type"], x["own"], x["n"]) for x in s)
                 for x, lead in zip(s, gather(s)):
                     name = hashlib.md5("\0".join([*key, *s[lead][:4]]).encode()).hexdigest()
                     rows.append((*key, *x[:4], name, *s[lead][:4]))
@@ -244,19 +280,18 @@ def _led(spelt: DataFrame, block: list[str]) -> DataFrame:
     return groups.mapInArrow(run, ", ".join(f"{n} string" for n in names))
 
 
-SPELLING = ["street", "direction", "type", "state"]
+SPELLING = ["street", "direction", "type", "own"]
 
 
-def locations(records: DataFrame) -> DataFrame:
-    """address_id, location: equal locations for the records of one place, number, street and unit."""
-    rows = materialize(parsed(records))
+def _matched(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Forms (FIELDS) with their location, and the candidates (FIELDS, location, score) of forms without a place."""
     forms = materialize(rows.groupBy(*FIELDS).agg(F.count(F.lit(1)).alias("n")))
     f = materialize(located(forms))
     block = ["kind", "number", "unit", "place"]
     led = materialize(_led(f.where("place is not null").groupBy(*block, *SPELLING).agg(F.sum("n").alias("n")), block))
     placed = materialize(f.where("place is not null").join(led.select(*block, *SPELLING, "location", "l_street", "l_direction", "l_type", "l_state"), [*block, *SPELLING]))
     # without a city: candidates are the locations with such a number, unit and street, of any place; the post code decides
-    bare = f.where("place is null").select(*FIELDS, "n")
+    bare = f.where("place is null").select(*FIELDS, "own", "n")
     hubs = _variants(placed.select("kind", "number", "unit", "location", "l_street", "l_direction", "l_type", "l_state", F.col("zip").alias("l_zip")).distinct(), "l_street")
     swapped = (F.levenshtein("zip", "l_zip") <= 1) | (F.array_sort(F.split("zip", "")) == F.array_sort(F.split("l_zip", ""))) & (F.levenshtein("zip", "l_zip") == 2)
     score = F.when((F.col("zip") == "") | (F.col("zip") == F.col("l_zip")), 2).when((F.col("l_zip") != "") & swapped, 1).when((F.col("l_zip") == "") & (F.col("state") != "") & (F.col("state") == F.col("l_state")), 1).otherwise(0)
@@ -266,8 +301,10 @@ def locations(records: DataFrame) -> DataFrame:
         .withColumn("score", score).where("score > 0")
         .groupBy(*FIELDS, "location").agg(F.max("score").alias("score"))
     )
-    best = tried.groupBy(*FIELDS).agg(F.max("score").alias("top"), F.collect_set(F.struct("score", "location")).alias("all"))
-    one = best.withColumn("all", F.filter("all", lambda x: x["score"] == F.col("top"))).where(F.size("all") == 1).select(*FIELDS, F.col("all")[0]["location"].alias("location"))
+    tried = materialize(tried)
+    best = tried.groupBy(*FIELDS).agg(F.max("score").alias("score"))
+    top = materialize(tried.join(best, [*FIELDS, "score"]))
+    one = top.groupBy(*FIELDS).agg(F.count(F.lit(1)).alias("k"), F.min("location").alias("location")).where("k = 1").drop("k")
     taken = materialize(bare.join(one, list(FIELDS), "left"))
     # what stays open links to what has the same post code, number, unit and street
     zblock = ["kind", "number", "unit", "zip"]
@@ -275,7 +312,21 @@ def locations(records: DataFrame) -> DataFrame:
     own = _led(rest.groupBy(*zblock, *SPELLING).agg(F.sum("n").alias("n")), zblock)
     opened = rest.drop("location").join(own.select(*zblock, *SPELLING, "location"), [*zblock, *SPELLING])
     every = placed.select(*FIELDS, "location").unionByName(taken.where("location is not null").select(*FIELDS, "location")).unionByName(opened.select(*FIELDS, "location"))
-    return salted_join(rows, materialize(every), list(FIELDS)).select("address_id", "location")
+    return every, top.join(rest.select(*FIELDS), list(FIELDS), "left_semi")
+
+
+def locations(records: DataFrame) -> DataFrame:
+    """address_id, location: equal locations for the records of one place, number, street and unit."""
+    rows = materialize(parsed(records))
+    return salted_join(rows, materialize(_matched(rows)[0]), list(FIELDS)).select("address_id", "location")
+
+
+def candidates(records: DataFrame) -> DataFrame:
+    """The open addresses, one row a notation and candidate: address_id (the smallest record written so), records (how many are), location and score of a place that it may mean."""
+    rows = materialize(parsed(records))
+    open_ = materialize(_matched(rows)[1])
+    ids = rows.groupBy(*FIELDS).agg(F.min("address_id").alias("address_id"), F.count(F.lit(1)).alias("records"))
+    return ids.join(open_, list(FIELDS)).select("address_id", "records", "location", "score")
 
 
 def pairs(records: DataFrame) -> DataFrame:

@@ -35,6 +35,10 @@ def p4_locations(spark: SparkSession, d: str) -> DataFrame:
     return p4_places.locations(p4_places.address_records(table(spark, d, "roster_rows"), table(spark, d, "extractions")))
 
 
+def p4_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return p4_places.candidates(p4_places.address_records(table(spark, d, "roster_rows"), table(spark, d, "extractions")))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_copies.copies(table(spark, d, "extractions"))
 
@@ -95,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_text": p3_text,
     "p4_found": p4_found,
     "p4_locations": p4_locations,
+    "p4_candidates": p4_candidates,
     "p5_found": p5_found,
     "p5_collapsed": p5_collapsed,
     "p6_found": p6_found,
