@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Collection, Iterable
 
 # Titles, suffixes, particles, legal forms, business words with their abbreviations, nicknames.
 TITLES = set("mr mrs ms miss mx dr prof professor sir herr frau sra srta señor señora mme mlle hr".split())
@@ -81,12 +82,31 @@ def near(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i:] if n > m else a[i:] == b[i + 1 :]
 
 
-def taken_apart(name: str, given: dict[str, int]) -> tuple[str, str, str, str, str]:
+def deleted(word: str) -> list[str]:
+    """``word`` and what is left of it without one character: words that are :func:`near` share one."""
+    return sorted({word, *(word[:i] + word[i + 1 :] for i in range(len(word)))})
+
+
+class Index:
+    """Words that are near to a word, found by what is left of both without a character."""
+
+    def __init__(self, among: Iterable[str]):
+        self.at: dict[str, list[str]] = {}
+        for x in sorted(set(among)):
+            for v in deleted(x):
+                self.at.setdefault(v, []).append(x)
+
+    def near(self, word: str) -> list[str]:
+        return sorted({x for v in deleted(word) for x in self.at.get(v, ()) if near(word, x)})
+
+
+def taken_apart(name: str, given: dict[str, int], nearly: Collection[str] | None = None) -> tuple[str, str, str, str, str]:
     """kind, family (or brand), first, middle, suffix (or legal form) of a name.
 
-    ``given``: given names with their frequency. What is no given name, nor a misspelling of one, is
-    the family name; a comma behind it or its place at the end decides if there are several.
-    For an organisation first holds its business words.
+    ``given``: given names with their frequency, those in the name at least; ``nearly``: the words of
+    the name that are a letter off a given name, looked for in ``given`` if null. What is no given name,
+    nor a misspelling of one, is the family name; a comma behind it or its place at the end decides if
+    there are several. For an organisation first holds its business words.
     """
     head, tail, suffix, legal, org = words(name)
     if org:
@@ -107,7 +127,7 @@ def taken_apart(name: str, given: dict[str, int]) -> tuple[str, str, str, str, s
     strange = [w for w in long if not common[w]]
     sure: list[str] = []
     if len(strange) > 1:
-        sure = [w for w in strange if not any(near(w, g) for g in given if abs(len(g) - len(w)) < 2 and len(w) > 2)]
+        sure = [w for w in strange if len(w) <= 2 or not (w in nearly if nearly is not None else any(near(w, g) for g in given))]
         strange = sure or strange
     if len(strange) > 1 and sure:  # a double name, its hyphen lost
         in_head, in_tail = [w for w in head if w in sure], [w for w in tail if w in sure]

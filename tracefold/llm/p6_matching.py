@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracefold.llm import p1_names
-from tracefold.llm.names import NICKNAMES, full_names, near, taken_apart
+from tracefold.llm.names import full_names, near
 from tracefold.llm.p2_groups import components
 from tracefold.runtime import materialize, salted_join
 
@@ -111,7 +111,7 @@ def points(p: dict, s: dict) -> float:
         elif set(full_names(x)) & set(full_names(y)):
             total += 2.5
         elif any(near(v, w) for v in (*full_names(x), x) for w in (*full_names(y), y)) and len(x) > 2:
-            total += 2.0 if x not in p["given"] or y not in p["given"] else -9.0
+            total += 2.0 if not p["sure"] or not s["sure"] else -9.0  # two names of their own
         else:
             return -9.0
         x, y = p["middle"], s["middle"]
@@ -143,29 +143,29 @@ def _forms(persons: DataFrame, flags: DataFrame, subjects: DataFrame) -> tuple[D
     return forms, rows.select("form", "side", "id")
 
 
-def _keyed(forms: DataFrame, given: dict[str, int]) -> DataFrame:
+def _keyed(forms: DataFrame) -> DataFrame:
     """Forms with their sort keys: family and given name and year; date and given name; reversed family; given name and consonants; date in its last reading. And with their runs."""
-    known = {**{x: 1 for k, v in NICKNAMES.items() for x in (k, *v.split(","))}, **given}
-    names = ["form", "side", "kind", "family", "first", "middle", "suffix", "born", "types", "letters", *KEYS, *RUNS]
-    kinds = {"types": "array<string>", "r5": "array<string>", "letters": "bigint"}
-    arrow = {"array<string>": pa.list_(pa.string()), "bigint": pa.int64()}
+    parts = materialize(p1_names.parsed(forms.select("name").distinct()))
+    forms = salted_join(forms, parts, ["name"])
+    names = ["form", "side", "kind", "family", "first", "middle", "suffix", "sure", "born", "types", "letters", *KEYS, *RUNS]
+    kinds = {"types": "array<string>", "r5": "array<string>", "letters": "bigint", "sure": "boolean"}
+    arrow = {"array<string>": pa.list_(pa.string()), "bigint": pa.int64(), "boolean": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for form, side, name, born, types in zip(*(b.column(i).to_pylist() for i in range(5))):
-                kind, family, first, middle, suffix = taken_apart(name, known)
+            for form, side, kind, family, first, middle, suffix, sure, born, types in zip(*(b.column(i).to_pylist() for i in range(10))):
                 stem = full_names(first)[0] if kind == "person" else first
                 d = dates(born)
                 ymd, other = ("%04d%02d%02d" % d[i] if d else "9999" for i in (0, -1))
                 bones = re.sub(r"[aeiouy\W]|(.)(?=\1)", "", family)
                 k = (f"{family} {stem} {ymd}", f"{ymd} {stem} {family}", f"{family[::-1]} {stem[:1]} {ymd}", f"{stem} {bones} {ymd}", f"{other} {stem} {family}")
                 r = (f"{kind} {family} {stem[:1]}", f"{kind} {stem} {bones}", sorted({f"{kind} {family[:i]}{family[i + 1 :]} {stem[:1]}" for i in range(len(family) + 1)}))
-                rows.append((form, side, kind, family, first, middle, suffix, born, types, letters(family), *k, *r))
+                rows.append((form, side, kind, family, first, middle, suffix, sure, born, types, letters(family), *k, *r))
             cols = list(zip(*rows)) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, arrow.get(kinds.get(n), pa.string())) for n, c in zip(names, cols)], names)
 
-    return forms.select("form", "side", "name", "born", "types").mapInArrow(run, ", ".join(f"{n} {kinds.get(n, 'string')}" for n in names))
+    return forms.select("form", "side", "kind", "family", "first", "middle", "suffix", "sure", "born", "types").mapInArrow(run, ", ".join(f"{n} {kinds.get(n, 'string')}" for n in names))
 
 
 def letters(word: str) -> int:
@@ -177,9 +177,9 @@ def letters(word: str) -> int:
     return out
 
 
-def _side(r: dict, given: dict[str, int]) -> dict:
+def _side(r: dict) -> dict:
     """A form made ready for ``points``."""
-    r["dates"], r["given"] = dates(r["born"]), given
+    r["dates"] = dates(r["born"])
     r["types"] = set(r["types"] or ()) if r["side"] == "p" else list(r["types"] or ())
     return r
 
@@ -198,12 +198,12 @@ def _ordered(keyed: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(spark.createDataFrame(starts, "_p int, _start bigint")), "_p").withColumn("pos", F.col("_start") + F.col("_i")).drop("_p", "_i", "_start")
 
 
-def _window(ordered: DataFrame, given: dict[str, int], window: int) -> DataFrame:
+def _window(ordered: DataFrame, window: int) -> DataFrame:
     """s, p, score of the pairs within the window that have enough points. Pieces of equal length overlap by the window, so that no key makes a task long."""
     piece = F.floor(F.col("pos") / PIECE)
     rows = ordered.withColumn("piece", F.explode(F.when(F.col("pos") % PIECE >= PIECE - window, F.array(piece, piece + 1)).otherwise(F.array(piece)))).repartition("piece").sortWithinPartitions("piece", "pos")
 
-    fields = ["form", "side", "kind", "family", "first", "middle", "suffix", "born", "types"]
+    fields = ["form", "side", "kind", "family", "first", "middle", "suffix", "sure", "born", "types"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before: pa.Table | None = None
@@ -222,7 +222,7 @@ def _window(ordered: DataFrame, given: dict[str, int], window: int) -> DataFrame
                 near_.append([a[ok], z[ok]])
             first, second = (np.concatenate([x[i] for x in near_]) for i in (0, 1))
             rows = np.unique(np.concatenate([first, second]))
-            made = {int(i): _side(r, given) for i, r in zip(rows, t.select(fields).take(pa.array(rows)).to_pylist())}
+            made = {int(i): _side(r) for i, r in zip(rows, t.select(fields).take(pa.array(rows)).to_pylist())}
             found = []
             for x, y in zip(first.tolist(), second.tolist()):
                 p, s = (made[x], made[y]) if side[x] else (made[y], made[x])
@@ -235,10 +235,10 @@ def _window(ordered: DataFrame, given: dict[str, int], window: int) -> DataFrame
     return rows.select(*fields, "letters", (F.col("side") == "p").alias("is_p"), "piece").mapInArrow(run, "s string, p string, score double")
 
 
-def _runs(keyed: DataFrame, run: str, given: dict[str, int], block: int = BLOCK) -> DataFrame:
+def _runs(keyed: DataFrame, run: str, block: int = BLOCK) -> DataFrame:
     """s, p, score of all pairs of one ``run`` that have enough points. Each side of a run is dealt into blocks; a block of persons and one of subjects meet under a key of their own, so that no name makes a task long."""
     keyed = keyed.withColumn("r5", F.explode("r5")) if run == "r5" else keyed
-    keyed = keyed.select("form", "side", "kind", "family", "first", "middle", "suffix", "born", "types", run)
+    keyed = keyed.select("form", "side", "kind", "family", "first", "middle", "suffix", "sure", "born", "types", run)
     count = lambda side: F.ceil(F.count_if(F.col("side") == side) / block).cast("int")
     size = keyed.groupBy(run).agg(count("p").alias("np"), count("s").alias("ns")).where("np > 0 and ns > 0")
     own = lambda n: F.pmod(F.xxhash64("form"), F.col(n)).cast("int")
@@ -256,7 +256,7 @@ def _runs(keyed: DataFrame, run: str, given: dict[str, int], block: int = BLOCK)
             for r in b.to_pylist():
                 if (cell := (r[run], r["x"], r["y"])) != last:
                     last, people = cell, []
-                r = _side(r, given)
+                r = _side(r)
                 if r["side"] == "p":
                     people.append(r)
                     continue
@@ -269,13 +269,13 @@ def _runs(keyed: DataFrame, run: str, given: dict[str, int], block: int = BLOCK)
             cols = list(zip(*found)) if found else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], ["s", "p", "score"])
 
-    return rows.select("form", "side", "kind", "family", "first", "middle", "suffix", "born", "types", run, "x", "y").mapInArrow(compare, "s string, p string, score double")
+    return rows.select("form", "side", "kind", "family", "first", "middle", "suffix", "sure", "born", "types", run, "x", "y").mapInArrow(compare, "s string, p string, score double")
 
 
-def _edges(keyed: DataFrame, given: dict[str, int], window: int) -> DataFrame:
+def _edges(keyed: DataFrame, window: int) -> DataFrame:
     """s, p, score of the pairs of all orders and runs."""
     edges = None
-    for found in [*(_window(_ordered(keyed, k), given, window) for k in KEYS), *(_runs(keyed, r, given) for r in RUNS)]:
+    for found in [*(_window(_ordered(keyed, k), window) for k in KEYS), *(_runs(keyed, r) for r in RUNS)]:
         edges = found if edges is None else edges.unionByName(found)
     return edges.groupBy("s", "p").agg(F.max("score").alias("score"))
 
@@ -337,22 +337,21 @@ def matches(persons: DataFrame, flags: DataFrame, subjects: DataFrame, window: i
     """person_id, subject_id, confidence. Rows without a name and persons named Unknown match nothing; equal rows match alike."""
     forms, rows = _forms(persons, flags, subjects)
     forms = materialize(forms)
-    given = p1_names.given_names(forms.select(p1_names.spelling(F.col("name")).alias("name")).distinct())
-    keyed = materialize(_keyed(forms, given))
-    edges = materialize(_edges(keyed, given, window))
+    keyed = materialize(_keyed(forms))
+    edges = materialize(_edges(keyed, window))
     lead = materialize(_assigned(edges))
     # further forms of the person: their best subject is this one, and they fit the leading form
     best = edges.groupBy("p").agg(F.max("score").alias("top"))
     more = edges.join(best, "p").where("score = top").drop("top").join(lead.select("s", F.col("p").alias("lead")), "s").join(lead.select("p", F.col("s").alias("taken")), "p", "left").where("taken is null or taken = s")
-    side = keyed.select(F.col("form").alias("p"), "kind", "family", "first", "middle", "suffix", "born")
-    pair = more.join(side, "p").join(side.select(F.col("p").alias("lead"), *(F.col(c).alias(f"l_{c}") for c in ("kind", "family", "first", "middle", "suffix", "born"))), "lead")
+    side = keyed.select(F.col("form").alias("p"), "kind", "family", "first", "middle", "suffix", "sure", "born")
+    pair = more.join(side, "p").join(side.select(F.col("p").alias("lead"), *(F.col(c).alias(f"l_{c}") for c in ("kind", "family", "first", "middle", "suffix", "sure", "born"))), "lead")
 
     def fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
             for r in b.to_pylist():
-                p = {c: r[c] for c in ("kind", "family", "first", "middle", "suffix")} | {"dates": dates(r["born"]), "types": set(), "given": given}
-                q = {c: r[f"l_{c}"] for c in ("kind", "family", "first", "middle", "suffix")} | {"dates": dates(r["l_born"]), "types": []}
+                p = {c: r[c] for c in ("kind", "family", "first", "middle", "suffix", "sure")} | {"dates": dates(r["born"]), "types": set()}
+                q = {c: r[f"l_{c}"] for c in ("kind", "family", "first", "middle", "suffix", "sure")} | {"dates": dates(r["l_born"]), "types": []}
                 if r["p"] == r["lead"] or points(p, q) >= 2.4:
                     keep.append((r["s"], r["p"], confidence(r["score"])))
             cols = list(zip(*keep)) if keep else [[]] * 3

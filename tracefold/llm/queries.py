@@ -8,13 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefold.llm import p1_names, p2_groups, p3_scans, p4_places, p5_copies, p6_matching, p7_pii, p8_tokens, p9_mixing, p10_repetition
-from tracefold.runtime import table
+from tracefold.runtime import materialize, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_names.variants(table(spark, d, "extractions"), table(spark, d, "persons"), table(spark, d, "entity_links"))
 
 
+def p1_entities(spark: SparkSession, d: str) -> DataFrame:
+    ex, people = table(spark, d, "extractions"), table(spark, d, "persons")
+    return p1_names.entities(materialize(p1_names.spellings(ex, people)), ex, table(spark, d, "entity_links"), people)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_groups.record_groups(table(spark, d, "entity_links"), table(spark, d, "extractions"))
 
@@ -94,6 +99,7 @@ def p10_quality(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p1_entities": p1_entities,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_text": p3_text,
