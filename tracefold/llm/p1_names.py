@@ -47,41 +47,30 @@ def spellings(extractions: DataFrame, persons: DataFrame) -> DataFrame:
 
 
 def _words(names: DataFrame) -> DataFrame:
-    """name, word, place, alone of the words of two letters and more of people's names; alone: the only one before a comma."""
+    """name, word, near, alone of the words of two letters and more of people's names: the words up to REACH places away, and whether it is the only one before a comma."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for s in b.column(0).to_pylist():
                 head, tail, _, _, org = words(s)
+                long = [] if org else [w for w in head + tail if len(w) > 1]
                 alone = bool(tail) and len(head) == 1
-                rows += [] if org else [(s, w, i, alone and i == 0) for i, w in enumerate(head + tail) if len(w) > 1]
+                rows += [(s, a, [c for c in long[max(0, i - REACH) : i + REACH + 1] if c != a], alone and a == head[0]) for i, a in enumerate(long)]
             cols = list(zip(*rows)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.bool_()))], ["name", "word", "place", "alone"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_()))], ["name", "word", "near", "alone"])
 
-    return names.select("name").mapInArrow(run, "name string, word string, place int, alone boolean")
+    return names.select("name").mapInArrow(run, "name string, word string, near array<string>, alone boolean")
 
 
 def _nicknames(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted((k, x) for k, v in NICKNAMES.items() for x in v.split(",")), "word string, full string")
 
 
-def given_names(names: DataFrame) -> DataFrame:
-    """word, partners: words with many different neighbours that seldom stand alone before a comma, and the nicknames with their full forms. A table, however many there are."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for s in b.column(0).to_pylist():
-                head, tail, _, _, org = words(s)
-                long = [] if org else [w for w in head + tail if len(w) > 1]
-                alone = bool(tail) and len(head) == 1
-                rows += [(a, c, alone and a == head[0]) for i, a in enumerate(long) for c in long[max(0, i - REACH) : i + REACH + 1] if a != c]
-            cols = list(zip(*rows)) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.bool_()))], ["a", "b", "before"])
-
-    spark = names.sparkSession
-    pairs = names.select("name").mapInArrow(run, "a string, b string, before boolean")
+def given_names(found: DataFrame) -> DataFrame:
+    """word, partners: words with many different neighbours that seldom stand alone before a comma, and the nicknames with their full forms. A table, however many there are. ``found``: see :func:`_words`."""
+    spark = found.sparkSession
+    pairs = found.select(F.col("word").alias("a"), F.explode("near").alias("b"), F.col("alone").alias("before"))
     per = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.count_if("before").alias("before")).groupBy("a").agg(F.count(F.lit(1)).alias("partners"), (F.sum("before") / F.sum("n")).alias("share"))
     often = materialize(per.where(F.col("share") <= GIVEN_BEFORE_COMMA).select(F.col("a").alias("word"), "partners"))
     top = often.orderBy(F.col("partners").desc()).limit(21).collect()  # the twentieth commonest alone is needed
@@ -110,8 +99,9 @@ def _near_words(found: DataFrame, given: DataFrame) -> DataFrame:
 
 def parsed(names: DataFrame) -> DataFrame:
     """name, its parts, and whether its first name is a known given name. Nicknames are given names as well. Every spelling meets what is known of its own words by joins."""
-    given = materialize(given_names(names))
-    word = materialize(_words(names).select("name", "word").distinct())
+    found = materialize(_words(names))
+    given = materialize(given_names(found))
+    word = found.select("name", "word").distinct()
     strange = materialize(word.select("word").distinct().join(given, "word", "left_anti"))
     known = materialize(given.select("word", "partners").unionByName(_near_words(strange, given).select("word", F.lit(0).cast("bigint").alias("partners"))))
     per = salted_join(word, known, ["word"]).groupBy("name").agg(F.collect_list(F.struct("word", "partners")).alias("known"))

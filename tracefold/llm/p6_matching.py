@@ -42,8 +42,8 @@ TYPES = {
 MONTHS = {m: i + 1 for i, ms in enumerate("jan,ene,janv feb,feb,fév mar,mär,mars apr,abr,avr may,mai,mayo jun,juin jul,juil aug,ago,août sep,sept oct,okt nov dec,dez,dic,déc".split()) for m in ms.split(",")}
 
 KEYS = ("k1", "k2", "k3", "k4", "k5")
-#: Parts of k3 and k4 without the date (forms that are equal in that of k1 are equal in both), and that of k3 with a letter of the family name left out.
-RUNS = ("r3", "r4", "r5")
+#: Parts of k3 and k4 without the date: forms that are equal in that of k1 are equal in both.
+RUNS = ("r3", "r4")
 #: Forms of one side that a block of a run holds, about.
 BLOCK = 500
 
@@ -148,7 +148,7 @@ def _keyed(forms: DataFrame) -> DataFrame:
     parts = materialize(p1_names.parsed(forms.select("name").distinct()))
     forms = salted_join(forms, parts, ["name"])
     names = ["form", "side", "kind", "family", "first", "middle", "suffix", "sure", "born", "types", "letters", *KEYS, *RUNS]
-    kinds = {"types": "array<string>", "r5": "array<string>", "letters": "bigint", "sure": "boolean"}
+    kinds = {"types": "array<string>", "letters": "bigint", "sure": "boolean"}
     arrow = {"array<string>": pa.list_(pa.string()), "bigint": pa.int64(), "boolean": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +160,7 @@ def _keyed(forms: DataFrame) -> DataFrame:
                 ymd, other = ("%04d%02d%02d" % d[i] if d else "9999" for i in (0, -1))
                 bones = re.sub(r"[aeiouy\W]|(.)(?=\1)", "", family)
                 k = (f"{family} {stem} {ymd}", f"{ymd} {stem} {family}", f"{family[::-1]} {stem[:1]} {ymd}", f"{stem} {bones} {ymd}", f"{other} {stem} {family}")
-                r = (f"{kind} {family} {stem[:1]}", f"{kind} {stem} {bones}", sorted({f"{kind} {family[:i]}{family[i + 1 :]} {stem[:1]}" for i in range(len(family) + 1)}))
+                r = (f"{kind} {family} {stem[:1]}", f"{kind} {stem} {bones}")
                 rows.append((form, side, kind, family, first, middle, suffix, sure, born, types, letters(family), *k, *r))
             cols = list(zip(*rows)) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, arrow.get(kinds.get(n), pa.string())) for n, c in zip(names, cols)], names)
@@ -237,7 +237,6 @@ def _window(ordered: DataFrame, window: int) -> DataFrame:
 
 def _runs(keyed: DataFrame, run: str, block: int = BLOCK) -> DataFrame:
     """s, p, score of all pairs of one ``run`` that have enough points. Each side of a run is dealt into blocks; a block of persons and one of subjects meet under a key of their own, so that no name makes a task long."""
-    keyed = keyed.withColumn("r5", F.explode("r5")) if run == "r5" else keyed
     keyed = keyed.select("form", "side", "kind", "family", "first", "middle", "suffix", "sure", "born", "types", run)
     count = lambda side: F.ceil(F.count_if(F.col("side") == side) / block).cast("int")
     size = keyed.groupBy(run).agg(count("p").alias("np"), count("s").alias("ns")).where("np > 0 and ns > 0")
@@ -261,7 +260,7 @@ def _runs(keyed: DataFrame, run: str, block: int = BLOCK) -> DataFrame:
                     people.append(r)
                     continue
                 for q in people:
-                    if run == "r5" and q["family"] == r["family"]:
+                    if run == "r4" and q["family"] == r["family"]:
                         continue  # of one r3
                     score = points(q, r)
                     if score >= LEAST:
@@ -272,10 +271,23 @@ def _runs(keyed: DataFrame, run: str, block: int = BLOCK) -> DataFrame:
     return rows.select("form", "side", "kind", "family", "first", "middle", "suffix", "sure", "born", "types", run, "x", "y").mapInArrow(compare, "s string, p string, score double")
 
 
+def _near_runs(keyed: DataFrame) -> DataFrame:
+    """``keyed`` with ``r5``, once for each pair of family names a letter apart, one of a person and one of a subject, of the same initial: what the names are without a letter brings them together."""
+    c = F.col("family")
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
+    families = keyed.select("side", "r3", "kind", "family", F.substring_index("r3", " ", -1).alias("initial")).distinct()
+    v = materialize(families.withColumn("v", F.explode(F.array_distinct(F.concat(F.array(c), cut)))))
+    p, s = (v.where(F.col("side") == x).select("kind", "initial", "v", F.col("r3").alias(f"{x}3"), F.col("family").alias(f"{x}f")) for x in "ps")
+    pairs = materialize(p.join(s, ["kind", "initial", "v"]).where("pf <> sf").select("p3", "s3").distinct())
+    run = F.concat("p3", F.lit("|"), "s3").alias("r5")
+    mine = [salted_join(keyed.where(F.col("side") == x), pairs.select(F.col(f"{x}3").alias("r3"), run), ["r3"]) for x in "ps"]
+    return mine[0].unionByName(mine[1])
+
+
 def _edges(keyed: DataFrame, window: int) -> DataFrame:
     """s, p, score of the pairs of all orders and runs."""
     edges = None
-    for found in [*(_window(_ordered(keyed, k), window) for k in KEYS), *(_runs(keyed, r) for r in RUNS)]:
+    for found in [*(_window(_ordered(keyed, k), window) for k in KEYS), *(_runs(keyed, r) for r in RUNS), _runs(_near_runs(keyed), "r5")]:
         edges = found if edges is None else edges.unionByName(found)
     return edges.groupBy("s", "p").agg(F.max("score").alias("score"))
 
