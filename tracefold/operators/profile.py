@@ -33,11 +33,15 @@ class Profile:
     def load(cls, path: str | None = None) -> Profile:
         """C20: the defaults, and behind them what the JSON file (or the file named by CORPUS_PROFILE) adds."""
         path = path or os.environ.get("CORPUS_PROFILE")
-        base = cls()
         if not path or not os.path.exists(path):
-            return base
+            return cls()
         with open(path, encoding="utf-8") as f:
-            more = json.load(f)
+            return cls.parse(f.read())
+
+    @classmethod
+    def parse(cls, text: str) -> Profile:
+        """C20: the defaults, and behind them what a JSON text adds; what is there already is not added again."""
+        base, more = cls(), json.loads(text)
         return cls(**{x.name: tuple(dict.fromkeys([*getattr(base, x.name), *more.get(x.name, [])])) for x in fields(cls)})
 
     @property

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tracefold.functions import names, spans, values
 from tracefold.operators import detect, exposure, ingest, model_tier, parse, resolve, review, score
-from tracefold.operators.profile import SHARED_MAILBOXES
+from tracefold.operators.profile import SHARED_MAILBOXES, Profile
+from tracefold.plans import detector_sql
 from tracefold.runtime import materialize, table
 from tracefold.sources.corpus import skip_existing
 
@@ -270,19 +271,44 @@ def detect_ssn(s: SparkSession, d: str) -> DataFrame:
     return _hits(s, d, "ssn").select("doc_id", "raw_value")
 
 
-@query()
+_HIT = ["doc_id", "detector", "category", "raw_value", "normalized_value", "passage", "confidence", "method", "is_partial", "suppressed", "char_start", "char_end"]
+
+
+def _detector(name: str, what: str) -> None:
+    @query(f"WITH {detector_sql.every('documents', names=[name])} SELECT * FROM hits")
+    def one(s: SparkSession, d: str) -> DataFrame:
+        return _hits(s, d, name).select(*_HIT)
+
+    QUERIES[f"hits_{name}"], SQL[f"hits_{name}"] = QUERIES.pop("one"), SQL.pop("one")
+    QUERIES[f"hits_{name}"].__doc__ = what
+
+
+for _name, _what in {"ssn": "C1 with suppression", "phone": "C4, C5", "dob": "C6, C7", "ending_in": "C11", "name": "C14", "address": "C15", "account": "C16", "login": "C17, C18"}.items():
+    _detector(_name, _what)
+
+
+@query(f"WITH {detector_sql.every('documents')} SELECT * FROM hits")
 def detect_all(s: SparkSession, d: str) -> DataFrame:
-    """All detectors in one pass over documents; patterns with lookbehind have no SQL."""
-    return _hits(s, d, *[x.name for x in detect.detectors()])
+    """All detectors in one pass over documents."""
+    return _hits(s, d, *[x.name for x in detect.detectors()]).select(*_HIT)
 
 
-@query()
+@query(f"WITH {detector_sql.every('documents')} SELECT source, lang, category, count(*) AS n, count(*) FILTER (suppressed) AS suppressed FROM hits JOIN (SELECT doc_id, source, lang FROM documents) USING (doc_id) GROUP BY 1, 2, 3")
 def hits_by_source(s: SparkSession, d: str) -> DataFrame:
     """Hits by source, language and category."""
     docs = table(s, d, "documents").select("doc_id", "source", "lang", "text")
     return detect.detect(docs).groupBy("source", "lang", "category").agg(F.count(F.lit(1)).alias("n"), F.count_if("suppressed").alias("suppressed"))
 
 
+_MORE = '{"name_labels": ["alternate spelling", "patient"], "login_labels": ["login username"], "shared_mailboxes": ["privacy"]}'
+
+
+@query(f"WITH {detector_sql.every('documents', Profile.parse(_MORE), ['name', 'login', 'email'])} SELECT * FROM hits")
+def detect_profiled(s: SparkSession, d: str) -> DataFrame:
+    """A profile adds labels and mailboxes to the built-in ones."""
+    return detect.detect(table(s, d, "documents").select("doc_id", "text"), profile=Profile.parse(_MORE), names=["name", "login", "email"]).select(*_HIT)
+
+
 @query(r"""
 WITH h AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, l, v FROM (SELECT doc_id, regexp_extract_all(text, '(?m)^[ \t]*([A-Za-z][A-Za-z /''&-]{2,40}?)[ \t]*(?::|\.{2,}|=)[ \t]*(\S.*)$', 1) AS l, regexp_extract_all(text, '(?m)^[ \t]*([A-Za-z][A-Za-z /''&-]{2,40}?)[ \t]*(?::|\.{2,}|=)[ \t]*(\S.*)$', 2) AS v FROM documents)),
 r AS (SELECT doc_id, i, lower(regexp_replace(trim(l[i]), '\s+', ' ', 'g')) AS label, left(trim(v[i]), 60) AS example FROM h),
