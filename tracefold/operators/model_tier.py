@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import time
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +19,8 @@ from tracefold.operators.profile import Profile
 ALLOWED = ["medical", "login_credentials", "financial_account", "home_address", "full_name"]
 ESCALATE_BELOW = 0.72
 CHEAP_CHARS, STRONG_CHARS = 8000, 12000
+#: Characters that two pieces of a long text have in common.
+OVERLAP = 400
 
 # What the stand-in looks for.
 HINTS = {
@@ -106,15 +110,59 @@ def stand_in(doc_id: object, text: str, categories: list[str], strong: bool = Fa
 Model = Callable[[object, str, list[str]], str]
 
 
-def ask(docs: DataFrame, categories: list[str], model: Model | None = None, chars: int = CHEAP_CHARS, samples: int = 1, strong: bool = False) -> DataFrame:
-    """``docs`` (doc_id, text) with elements, and error if the call failed. L4: several samples are united, the surest of equal values kept. L10: at most ``chars`` characters are sent. L11: other categories are dropped."""
+class Busy(RuntimeError):
+    """Raised by a model that answers too many requests (429); ``after`` is the wait in seconds that it asks for."""
+
+    def __init__(self, after: float | None = None):
+        super().__init__("too many requests")
+        self.after = after
+
+
+@dataclass(frozen=True)
+class Policy:
+    """How often a busy model is asked again, the first wait in seconds (doubled each time), and the requests a minute that one task sends at most (0: any)."""
+
+    retries: int = 3
+    wait: float = 2.0
+    per_minute: float = 0.0
+    sleep: Callable[[float], None] = time.sleep
+
+    def call(self, model: Model, *args: object) -> str:
+        """The answer of ``model``; Busy once the retries are used up, any other error at once."""
+        if self.per_minute:
+            self.sleep(60 / self.per_minute)
+        for n in range(self.retries + 1):
+            try:
+                return model(*args)
+            except Busy as b:
+                if n == self.retries:
+                    raise
+                self.sleep(b.after if b.after is not None else self.wait * 2**n)
+        raise AssertionError
+
+
+def first_at_hand(providers: dict[str, tuple[str | None, Model]]) -> tuple[str, Model | None]:
+    """The first provider, in their order, that has a real key; the stand-in if none has."""
+    for name, (key, model) in providers.items():
+        if key and key.strip() and not key.lower().startswith(("your", "changeme", "<", "xxx")):
+            return name, model
+    return "stand_in", None
+
+
+def pieces(text: str, chars: int, overlap: int = OVERLAP) -> list[str]:
+    """``text`` in pieces of at most ``chars`` characters that overlap; an empty text is one piece."""
+    return [text[i : i + chars] for i in range(0, max(1, len(text) - overlap), chars - overlap)]
+
+
+def ask(docs: DataFrame, categories: list[str], model: Model | None = None, chars: int = CHEAP_CHARS, samples: int = 1, strong: bool = False, policy: Policy = Policy()) -> DataFrame:
+    """``docs`` (doc_id, text) with elements, and error if a call failed. L4: several samples are united, the surest of equal values kept. L8: ``policy``. L10: a longer text is sent in overlapping pieces of at most ``chars`` characters. L11: other categories are dropped."""
     labels = Profile().label_words
 
     def one(i: object, text: str) -> tuple[list[dict], str | None]:
         best: dict[tuple[str, str], dict] = {}
         try:
-            for _ in range(samples):
-                answer = model(i, text[:chars], categories) if model else stand_in(i, text[:chars], categories, strong)
+            for part in [p for p in pieces(text, chars) for _ in range(samples)]:
+                answer = policy.call(model, i, part, categories) if model else stand_in(i, part, categories, strong)
                 for raw in (first_object(answer) or {}).get("elements", []):
                     e = element(raw, text, labels) if isinstance(raw, dict) else None
                     if e and e["category"] in categories:

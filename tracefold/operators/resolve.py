@@ -197,18 +197,23 @@ def dossiers(people: DataFrame, links: DataFrame, extractions: DataFrame, per_fl
 
 
 def adjudicate(pairs: DataFrame, files: DataFrame) -> DataFrame:
-    """Decision and confidence of each pair by rule: contradicting identifiers or birth dates split, a shared surname merges, all else is for a person to decide."""
-    side = lambda p: files.select(F.col("person_id").alias(p), F.col("name").alias(f"{p}_name"), F.col("dob").alias(f"{p}_dob"), F.coalesce("evidence", F.array().cast(files.schema["evidence"].dataType)).alias(f"{p}_ev"))
+    """Decision and confidence of each pair by rule: values of one category (addresses aside) that have none in common split, so do different birth dates; a last word that any two spellings share merges, all else is for a person to decide."""
+    from tracefold.operators.exposure import CATEGORIES
+
+    side = lambda p: files.select(F.col("person_id").alias(p), F.col("dob").alias(f"{p}_dob"), F.coalesce("variants", F.array().cast("array<string>")).alias(f"{p}_names"), F.coalesce("evidence", F.array().cast(files.schema["evidence"].dataType)).alias(f"{p}_ev"))
     d = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def values(ev: Column, c: str) -> Column:
-        return F.transform(F.filter(ev, lambda x: x["category"] == c), lambda x: x["value"])
+        return F.transform(F.filter(ev, lambda x: (x["category"] == c) & x["value"].isNotNull()), lambda x: x["value"])
+
+    def last(names_: Column) -> Column:
+        return F.transform(F.filter(names_, lambda n: F.trim(n) != ""), lambda n: F.element_at(F.split(F.trim(F.lower(n)), r"\s+"), -1))
 
     differ = F.lit(False)
-    for c in [*STRONG, "financial_account", "login_credentials", "medical"]:
-        x, y = values(F.col("a_ev"), c), values(F.col("b_ev"), c)
-        differ = differ | ((F.size(x) > 0) & (F.size(y) > 0) & ~F.arrays_overlap(x, y))
-    dobs = F.col("a_dob").isNotNull() & F.col("b_dob").isNotNull() & (F.col("a_dob") != F.col("b_dob"))
-    last = lambda c: F.lower(F.element_at(F.split(F.trim(F.regexp_replace(c, ",", " ")), r"\s+"), -1))
-    decision = F.when(differ, F.struct(F.lit("split").alias("decision"), F.lit(0.85).alias("confidence"))).when(dobs, F.struct(F.lit("split").alias("decision"), F.lit(0.8).alias("confidence"))).when(last(F.col("a_name")) == last(F.col("b_name")), F.struct(F.lit("merge").alias("decision"), F.lit(0.65).alias("confidence"))).otherwise(F.struct(F.lit("escalate").alias("decision"), F.lit(0.3).alias("confidence")))
+    for c in CATEGORIES:
+        if c != "home_address":
+            x, y = values(F.col("a_ev"), c), values(F.col("b_ev"), c)
+            differ = differ | ((F.size(x) > 0) & (F.size(y) > 0) & ~F.arrays_overlap(x, y))
+    said = lambda decision, confidence: F.struct(F.lit(decision).alias("decision"), F.lit(confidence).alias("confidence"))
+    decision = F.when(differ, said("split", 0.85)).when(F.col("a_dob") != F.col("b_dob"), said("split", 0.8)).when(F.arrays_overlap(last(F.col("a_names")), last(F.col("b_names"))), said("merge", 0.65)).otherwise(said("escalate", 0.3))
     return d.withColumn("_d", decision).select("a", "b", "signal", "_d.decision", "_d.confidence")

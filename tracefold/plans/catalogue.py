@@ -494,12 +494,6 @@ def resolved_links(s: SparkSession, d: str) -> DataFrame:
     return resolve.resolve(table(s, d, "extractions"), chrome=False)[1].select("extraction_id", "person_id", "confidence")
 
 
-@query()
-def resolved_trimmed(s: SparkSession, d: str) -> DataFrame:
-    """D1-D13 with the words of document furniture cut off first."""
-    return resolve.resolve(table(s, d, "extractions"))[0]
-
-
 def _people(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "persons").withColumnRenamed("id", "person_id")
 
@@ -514,21 +508,6 @@ def candidate_pairs(s: SparkSession, d: str) -> DataFrame:
     return resolve.candidate_pairs(_people(s, d), table(s, d, "entity_links"), table(s, d, "extractions"), most=None)
 
 
-@query()
-def adjudicated_pairs(s: SparkSession, d: str) -> DataFrame:
-    """D15-D17"""
-    people, links, ex = _people(s, d), table(s, d, "entity_links"), table(s, d, "extractions")
-    return resolve.adjudicate(resolve.candidate_pairs(people, links, ex, most=None), resolve.dossiers(people, links, ex))
-
-
-@query()
-def merged_links(s: SparkSession, d: str) -> DataFrame:
-    """Links after all pairs of one name are merged."""
-    people, links, ex = _people(s, d), table(s, d, "entity_links"), table(s, d, "extractions")
-    pairs = resolve.candidate_pairs(people, links, ex, most=None).where("signal = 'same_name'")
-    return resolve.apply_merges(links, people, pairs.select(F.col("a").alias("keep"), F.col("b").alias("merge")))[0].select("extraction_id", "person_id", "method")
-
-
 # ---------------------------------------------------------------- review
 
 
@@ -622,13 +601,6 @@ def truncated_text(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").where("text is not null").select("doc_id", F.substring("text", 1, model_tier.CHEAP_CHARS).alias("text"))
 
 
-@query()
-def model_rows(s: SparkSession, d: str) -> DataFrame:
-    """L1-L11 with the stand-in."""
-    docs = table(s, d, "documents").where("status = 'parsed' and text is not null")
-    return model_tier.new_rows(model_tier.rows(model_tier.tier(docs, model_tier.ALLOWED)), table(s, d, "extractions"))
-
-
 # ---------------------------------------------------------------- scoring: the cells of rosters as planted values
 
 _PLANTED = [("ssn", "ssn"), ("dob", "dob"), ("home_address", "home_address"), ("phone", "phone"), ("email", "email"), ("card_number", "card_on_file"), ("full_name", "full_name")]
@@ -687,3 +659,6 @@ SELECT coalesce(context_style, 'unlabelled') AS context_style, count(*) AS plant
 def recall_by_style(s: SparkSession, d: str) -> DataFrame:
     """H9"""
     return score.style_recall(_truth(s, d), table(s, d, "extractions"), table(s, d, "documents"))
+
+
+from tracefold.plans import file_queries, review_queries  # noqa: E402, F401  they add their queries
