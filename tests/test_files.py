@@ -37,6 +37,8 @@ def test_types_by_content():
     assert sniff(office("word/")) == ("docx", None)
     assert sniff(office("ppt/")) == ("unknown", "unrecognized_office_format")
     assert sniff(b"PK\x03\x04broken") == ("unknown", "corrupt_unreadable")
+    assert sniff("é".encode() * 6000 + b"\xff") == ("txt", None) and sniff(b"a" * 4000 + b"\xff" + b"a" * 4000)[1] == "corrupt_unreadable"
+    assert sniff(b"a" * 16383 + "é".encode()) == ("txt", None)
     assert sniff(b"%PDF-1.4") == ("unknown", "parser_unavailable")
     assert sniff(b"%PDF-1.4", lambda c: ["x" * 100]) == ("pdf_digital", None)
     assert sniff(b"%PDF-1.4", lambda c: ["x"]) == ("pdf_scanned", None)

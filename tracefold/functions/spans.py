@@ -31,14 +31,20 @@ def _cut(piece: Column) -> Column:
 
 
 def _placed(hits: Column, first: Column) -> Column:
-    start = F.struct(first.alias("at"), F.array().cast(MATCHES).alias("out"))
+    """Offsets of ``hits`` by running sums, in blocks of about the root of their number: an array that grows by one element is copied each time, so that a text with very many matches would take the square of them in one go."""
+    block = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(hits))).cast("int"))
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(hits) / block).cast("int")), lambda k: F.slice(hits, k * block + 1, block))
 
     def step(acc: Column, m: Column) -> Column:
         end = acc["at"] + m["n"]
         hit = F.struct(m["raw"].alias("raw"), m["value"].alias("value"), acc["at"].alias("start"), end.alias("end"))
         return F.struct((end + m["after"]).alias("at"), F.concat(acc["out"], F.array(hit)).alias("out"))
 
-    return F.aggregate(hits, start, step, lambda acc: acc["out"])
+    def many(acc: Column, b: Column) -> Column:
+        done = F.aggregate(b, F.struct(acc["at"].alias("at"), F.array().cast(MATCHES).alias("out")), step)
+        return F.struct(done["at"].alias("at"), F.concat(acc["out"], F.array(done["out"])).alias("out"))
+
+    return F.flatten(F.aggregate(blocks, F.struct(first.alias("at"), F.array().cast(f"array<{MATCHES}>").alias("out")), many, lambda acc: acc["out"]))
 
 
 def matches_between(text: Column, pattern: str, group: int = 0) -> Column:

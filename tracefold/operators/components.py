@@ -19,12 +19,13 @@ def stars(edges: DataFrame) -> DataFrame:
     e = materialize(e)
     while True:
         both = materialize(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = materialize(salted_join(both, low, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = salted_join(large, low, ["u"]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")).select("u", F.least("u", "m").alias("m"), "_n"))
+        large = materialize(salted_join(both, low.drop("_n"), ["u"], counts=low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        release(both, low, e)
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")))
+        small = salted_join(large, low.drop("_n"), ["u"], counts=low).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         new = materialize(small)
-        release(both, large, e)
+        release(low, large)
         e = new
         ends = e.select(F.col("u").alias("x"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("below"), F.lit(1).alias("above")))
         if ends.groupBy("x").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below > 1 or below > 0 and above > 0").isEmpty():

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracefold.runtime import salted_join
+
 CATEGORIES = ["ssn", "dob", "drivers_license", "passport", "financial_account", "card_number", "medical", "login_credentials", "home_address", "phone", "email"]
 ACCEPT = 0.75
 
@@ -66,7 +68,8 @@ def source_refs(links: DataFrame, extractions: DataFrame, documents: DataFrame)
     e = extractions.where("not coalesce(suppressed_as_false_positive, false)").select(F.col("id").alias("extraction_id"), "document_id", "category", "normalized_value", "page_number")
     d = documents.select(F.col("doc_id").alias("document_id"), "relpath")
     ref = F.when(F.col("page_number").isNotNull(), F.concat("relpath", F.lit("#p"), "page_number")).otherwise(F.col("relpath"))
-    return links.select("extraction_id", "person_id", "confidence").join(e, "extraction_id").join(d, "document_id").select("person_id", "category", "normalized_value", ref.alias("ref"), "confidence")
+    found = links.select("extraction_id", "person_id", "confidence").join(e, "extraction_id")
+    return salted_join(found, d, ["document_id"]).select("person_id", "category", "normalized_value", ref.alias("ref"), "confidence")
 
 
 def aliases(refs: DataFrame, people: DataFrame) -> DataFrame:
@@ -102,7 +105,7 @@ def evidence(evidence_: DataFrame, extractions: DataFrame, documents: DataFrame)
     """F8: evidence of flags with passage and place; the page is approximate if a model found the value."""
     e = extractions.select(F.col("id").alias("extraction_id"), "document_id", "record_key", "page_number", "raw_value", "passage", "method")
     d = documents.select(F.col("doc_id").alias("document_id"), "relpath", "sniffed_type")
-    return evidence_.join(e, "extraction_id").join(d, "document_id").withColumn("page_is_approximate", F.col("method").startswith("llm_"))
+    return salted_join(evidence_.join(e, "extraction_id"), d, ["document_id"]).withColumn("page_is_approximate", F.col("method").startswith("llm_"))
 
 
 def list_documents(documents: DataFrame, status: str | None = None, offset: int = 0, limit: int = 50) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 import email
 import email.policy
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 #: How HTML begins, and the header lines of a mail.
 HTML_HEAD = r"^(<!doctype html|<html)"
 MAIL_HEAD = r"^(from|to|subject|date|mime-version|content-type):"
+#: Characters at the start of a text that tell its type; what stands behind them is not decoded.
+HEAD = 4096
 #: Mean characters a page under which a PDF counts as scanned.
 SCANNED_BELOW = 20
 
@@ -80,9 +83,11 @@ def sniff_bytes(content: bytes | None, pages_of: Callable | None = None) -> tupl
     if content.startswith(b"\x89PNG"):
         return "png", None
     try:
-        text = content.decode("utf-8")[:4096]
-    except UnicodeDecodeError:
-        return "unknown", "corrupt_unreadable"
+        text = codecs.getincrementaldecoder("utf-8")().decode(content[: 4 * HEAD])[:HEAD]
+    except UnicodeDecodeError as e:
+        text = content[: e.start].decode("utf-8")[:HEAD]
+        if len(text) < HEAD:
+            return "unknown", "corrupt_unreadable"
     if re.match(HTML_HEAD, text.strip().lower()):
         return "html", None
     if sum(bool(re.match(MAIL_HEAD, x.lower())) for x in text.split("\n")[:6]) >= 2:
@@ -129,11 +134,16 @@ def quarantine_duplicates(documents: DataFrame, order: str = "doc_id", digest: s
     """A4, A5: the first of equal files stays, the others get sniffed_type unknown and reason duplicate_of_document_N.
 
     Empty files (digest '' or null) are no duplicates of each other; they are quarantined as zero_byte.
-    The first file is found by a partial minimum, so a digest with many copies makes no long task.
+    The first file is found by a partial minimum and met by a salted join, and empty files meet nothing, so neither a
+    digest with many copies nor very many empty files make a long task.
     """
+    from tracefold.runtime import salted_join
+
     keep = documents.columns
-    first = documents.where(F.coalesce(F.col(digest), F.lit("")) != "").groupBy(digest).agg(F.min(order).alias("_first"))
-    d = documents.join(first, digest, "left")
+    filled = F.coalesce(F.col(digest), F.lit("")) != ""
+    first = documents.where(filled).groupBy(digest).agg(F.min(order).alias("_first"))
+    none = F.lit(None).cast(documents.schema[order].dataType).alias("_first")
+    d = salted_join(documents.where(filled), first, [digest], "left").unionByName(documents.where(~filled).select("*", none))
     copy = F.col("_first") < F.col(order)
     empty = F.coalesce(F.col(digest), F.lit("")) == ""
     reason = F.when(empty, F.lit("zero_byte")).when(copy, F.concat(F.lit("duplicate_of_document_"), F.col("_first").cast("string")))

@@ -68,7 +68,7 @@ _STRIPPED = r"regexp_replace({}, '^[\s\x0B\x1C-\x1F\x{{85}}\p{{Z}}]+|[\s\x0B\x1C
 @query(rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS whole, left(coalesce(text, ''), 4096) AS text FROM documents),
 l AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\n\r\x0B\x0C\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: {_STRIPPED('x')} <> '')[1:5] AS lines FROM t),
-n AS (SELECT doc_id, list_transform(lines, lambda x: length(x) - length(replace(regexp_replace(x, '(^|,)"(?:[^"]|"")*"', '\1', 'g'), ',', '')) + 1) AS fields FROM l)
+n AS (SELECT doc_id, list_transform(list_transform(lines, lambda x: regexp_replace(x, '(^|,)"(?:[^"]|"")*"', '\1', 'g')), lambda y: length(y) - length(replace(y, ',', '')) + 1) AS fields FROM l)
 SELECT t.doc_id, CASE WHEN whole = '' THEN 'unknown' WHEN regexp_matches(lower({_STRIPPED('text')}), '^(<!doctype html|<html)') THEN 'html'
   WHEN len(list_filter(string_split(text, chr(10))[1:6], lambda x: regexp_matches(lower(x), '^(from|to|subject|date|mime-version|content-type):'))) >= 2 THEN 'eml'
   WHEN len(fields) >= 2 AND list_min(fields) > 1 AND list_min(fields) = list_max(fields) THEN 'csv' ELSE 'txt' END AS sniffed_type, CASE WHEN whole = '' THEN 'zero_byte' END AS quarantine_reason

@@ -73,20 +73,28 @@ def hot_keys(df: DataFrame, keys: Sequence[str], at_least: int = HOT_ROWS, most:
     Counted exactly, with map-side partial counts. Leaving out the rest is no cap on
     the data: those keys hold less than 1/``most`` of the rows each and are joined plainly.
     """
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= at_least).orderBy(F.col("_n").desc(), *keys).limit(most).select(*keys)
+    return _largest(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys, at_least, most)
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", at_least: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+def _largest(counts: DataFrame, keys: Sequence[str], at_least: int, most: int) -> DataFrame:
+    return counts.where(F.col("_n") >= at_least).orderBy(F.col("_n").desc(), *keys).limit(most).select(*keys)
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", at_least: int = HOT_ROWS, salts: int = SALTS, counts: DataFrame | None = None) -> DataFrame:
     """``left`` join ``right`` on ``keys``, ``left`` possibly skewed, ``right`` of few rows a key.
 
     Rows of ``left`` with a hot key are spread over ``salts`` parts by a hash of the row;
     the rows of ``right`` with such a key are repeated once a part. ``how``: inner, left,
-    left_semi or left_anti.
+    left_semi or left_anti. ``counts``: the keys of ``left`` with their rows (_n), if they are at hand, so that they
+    are not counted again. Equal rows of a materialised table have different salts.
     """
     keys = list(keys)
     if getattr(left, "_tracefold_path", None) and left.count() < at_least:
         return left.join(right, keys, how)  # counted from the footers: no key can be hot
-    hot = hot_keys(left, keys, at_least).withColumn("_hot", F.lit(True))
-    spread = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")).otherwise(F.lit(0))).drop("_hot")
+    hot = _largest(counts, keys, at_least, HOT_KEYS) if counts is not None else hot_keys(left, keys, at_least)
+    hot = hot.withColumn("_hot", F.lit(True))
+    # a task that runs again must deal its rows as before: places are fixed in a written table only, elsewhere the row itself decides
+    place = F.xxhash64(F.monotonically_increasing_id()) if getattr(left, "_tracefold_path", None) else F.xxhash64(*left.columns)
+    spread = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(place, F.lit(salts)).cast("int")).otherwise(F.lit(0))).drop("_hot")
     copies = right.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
     return spread.join(copies, [*keys, "_salt"], how).drop("_salt")
