@@ -31,8 +31,10 @@ ONLY_EDGE = 0.9
 #: A known word takes the place of another if it is this many times as frequent, and seen at least MIN_SEEN times.
 TIMES, MIN_SEEN = 20, 3
 ROUNDS = 4
+#: Letters of a word beyond which no misreading is looked for: each place of a word makes candidates, and none is a known word of such a length.
+MOST_LETTERS = 100
 MARKS = "-­‐‑¬"
-NUMBER_LINE = re.compile(r"(?i)^[\[(–—-]*\s*(?:(?:page|seite|página|pagina|pág\.?|p\.|s\.)\s*)?(?:\d{1,4}|[ivxl]{1,6}|(?=.*[\dl|])[\dlo|!i]{1,4})(?:\s*(?:/|of|von|de|sur)\s*[\dlo|!]{1,4})?\s*[\])–—-]*$")
+NUMBER_LINE = re.compile(r"(?i)^[\[(–—-]*\s*(?:(?:page|seite|página|pagina|pág\.?|p\.|s\.)\s*)?(?:\d{1,9}|[ivxl]{1,9}|(?=.*[\dl|])[\dlo|!i]{1,4})(?:\s*(?:/|of|von|de|sur)\s*[\dlo|!]{1,4})?\s*[\])–—-]*$")
 # What is misread for what. Left what stands in the text, right what may be meant.
 CONFUSED = [
     ("c", "e"), ("e", "c"), ("b", "h"), ("h", "b"), ("q", "g"), ("g", "q"), ("!", "i"), ("!", "l"), ("5", "s"), ("$", "s"), ("0", "o"), ("0", "l"), ("1", "l"), ("1", "i"),
@@ -239,7 +241,7 @@ def word_of(token: str) -> str:
     if "(" not in w:
         w = w.rstrip(")")
     letters = sum(c.isalpha() for c in w)
-    if letters < 2 and not re.fullmatch(r"[0-9!|($][^\W\d_]|[^\W\d_][0-9!|($]", w) or letters < 0.6 * len(w) and len(w) > 2 or "@" in w or "/" in w or re.search(r"\d\d", w) or len(w) > 40:
+    if letters < 2 and not re.fullmatch(r"[0-9!|($][^\W\d_]|[^\W\d_][0-9!|($]", w) or letters < 0.6 * len(w) and len(w) > 2 or "@" in w or "/" in w or re.search(r"\d\d", w) or len(w) > MOST_LETTERS:
         return ""
     return w.lower()
 
@@ -371,7 +373,7 @@ def corrections(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.string()))], ["wrong", "n", "word"])
 
     tried = words.mapInArrow(run, "wrong string, n bigint, word string").join(vocab, "word").where((F.col("seen") >= MIN_SEEN) & (F.col("seen") >= TIMES * F.col("n")))
-    best = F.max_by("word", F.struct("seen", F.hash("word"))).alias("right")
+    best = F.min_by("word", F.struct(-F.col("seen"), "word")).alias("right")
     return tried.groupBy(F.col("wrong").alias("word")).agg(best)
 
 
